@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.llm.decontaminate import op9_decontaminate
 from quarry.llm.mixing import op10_mixing
 from quarry.llm.sharding import op7_sharding
+from quarry.llm.warc import op8_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sharding": op7_sharding,
+    "op8_warc": op8_warc,
+    "op9_decontaminate": op9_decontaminate,
     "op10_mixing": op10_mixing,
 }
 
@@ -36,6 +40,31 @@ c AS (
 SELECT s.doc_id, size, CAST(crc AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
        CAST(row_number() OVER (PARTITION BY shard ORDER BY n) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
 FROM s JOIN c ON s.doc_id = c.doc_id""",
+    "op8_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first_id FROM p GROUP BY h)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST((CAST('0x' || substr(h, 5 * (i // 4) + 1, 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT) + 1, 1) FOR i IN range(32)], '') AS payload_digest,
+       CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first_id THEN first_id END AS refers_to
+FROM p JOIN f USING (h)""",
+    "op9_decontaminate": """
+WITH w AS (
+  SELECT 'd' AS kind, doc_id AS id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS ws FROM documents
+  UNION ALL
+  SELECT 'b', item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') FROM benchmark),
+iw AS (SELECT DISTINCT id AS item_id, least(10, len(ws)) AS n, array_to_string(ws[k : k + least(10, len(ws)) - 1], ' ') AS win
+       FROM (SELECT *, unnest(range(1, greatest(1, len(ws) - 9) + 1)) AS k FROM w WHERE kind = 'b' AND len(ws) > 0)),
+lens AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT id AS doc_id, n, k, array_to_string(ws[k : k + n - 1], ' ') AS win
+       FROM (SELECT w.id, w.ws, lens.n, unnest(range(1, len(w.ws) - lens.n + 2)) AS k FROM w, lens WHERE kind = 'd' AND len(ws) >= lens.n)),
+m AS (SELECT doc_id, dw.n, k, item_id FROM dw JOIN iw USING (win)),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM m) GROUP BY doc_id),
+i AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM m GROUP BY doc_id)
+SELECT w.id AS doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN h ON w.id = h.doc_id LEFT JOIN i ON w.id = i.doc_id WHERE kind = 'd'""",
     "op10_mixing": """
 WITH d AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS g,
