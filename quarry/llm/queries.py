@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm.decontaminate import op9_decontaminate
 from quarry.llm.mixing import op10_mixing
+from quarry.llm.rules import op5_rules
 from quarry.llm.sharding import op7_sharding
 from quarry.llm.simhash import op4_simhash
 from quarry.llm.warc import op8_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
+    "op5_rules": op5_rules,
     "op7_sharding": op7_sharding,
     "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
