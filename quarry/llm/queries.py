@@ -11,11 +11,13 @@ from quarry.llm.mixing import op10_mixing
 from quarry.llm.rules import op5_rules
 from quarry.llm.sharding import op7_sharding
 from quarry.llm.simhash import op4_simhash
+from quarry.llm.substrings import op6_substrings
 from quarry.llm.warc import op8_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_rules": op5_rules,
+    "op6_substrings": op6_substrings,
     "op7_sharding": op7_sharding,
     "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
@@ -23,6 +25,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_substrings": """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+w AS (SELECT doc_id, k, array_to_string(ws[k : k + 12], ' ') AS win FROM (SELECT *, unnest(range(1, len(ws) - 11)) AS k FROM d WHERE len(ws) >= 13)),
+h AS (SELECT doc_id, k FROM (SELECT *, min(doc_id) OVER (PARTITION BY win) AS first_id FROM w) WHERE doc_id > first_id),
+r AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(k, k + 13)) AS p FROM h) GROUP BY doc_id),
+t AS (SELECT d.doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM d),
+kept AS (SELECT t.doc_id, string_agg(word, ' ' ORDER BY t.p) AS body, count(*) AS n
+         FROM t LEFT JOIN (SELECT doc_id, unnest(gone) AS p FROM r) g ON t.doc_id = g.doc_id AND t.p = g.p WHERE g.p IS NULL GROUP BY t.doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""",
     "op7_sharding": """
 WITH d AS (
   SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, coalesce(text, '') AS body FROM documents),
