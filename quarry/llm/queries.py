@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm.decontaminate import op9_decontaminate
+from quarry.llm.factorisation import op2_quality
 from quarry.llm.mixing import op10_mixing
+from quarry.llm.pii import op1_pii
 from quarry.llm.rules import op5_rules
 from quarry.llm.sharding import op7_sharding
 from quarry.llm.simhash import op4_simhash
@@ -15,6 +17,8 @@ from quarry.llm.substrings import op6_substrings
 from quarry.llm.warc import op8_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
+    "op2_quality": op2_quality,
     "op4_simhash": op4_simhash,
     "op5_rules": op5_rules,
     "op6_substrings": op6_substrings,
