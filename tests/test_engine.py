@@ -27,16 +27,16 @@ def brute(lines, profit, k, min_prob):
                 eu, ep = sum(sum(profit[i] * t[i][0] for i in items) * c for t, c in zip(rows, chance, strict=True)), 1 - math.prod(chance)
                 if eu >= 0 and ep >= min_prob - 1e-10:
                     out.append((-round(eu, 6), -round(ep, 6), n, list(items), len(rows)))
-    return [(items, round(-eu, 4), round(-ep, 4), support) for eu, ep, _, items, support in sorted(out)[:k]]
+    return [(items, -eu, -ep, support) for eu, ep, _, items, support in sorted(out)[:k]]
 
 
 def mined(spark, lines, profit, k, min_prob, semantics="exact"):
-    return [(r["items"], round(r["expected_utility"], 4), round(r["probability"], 4), r["support"]) for r in mining.mine_topk(*frames(spark, lines, profit), k, min_prob, semantics).collect()]
+    return [(r["items"], round(r["expected_utility"], 6), round(r["probability"], 6), r["support"]) for r in mining.mine_topk(*frames(spark, lines, profit), k, min_prob, semantics).collect()]
 
 
 def test_sample_matches_known_answers(spark):
     got = mined(spark, SAMPLE, SAMPLE_PROFIT, 10, 0.3)
-    assert got[:3] == [([2], 49.35, 0.7246, 4), ([1, 3], 35.2, 0.6494, 3), ([2, 3], 34.0, 0.7705, 3)]
+    assert got[:3] == [([2], 49.35, 0.7246, 4), ([1, 3], 35.2, 0.649375, 3), ([2, 3], 34.0, 0.7705, 3)]
     assert got == brute(SAMPLE, SAMPLE_PROFIT, 10, 0.3) and len(got) == 10
 
 
