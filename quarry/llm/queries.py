@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from quarry.llm.decontaminate import op9_decontaminate
 from quarry.llm.factorisation import op2_quality
+from quarry.llm.lines import op3_lines
 from quarry.llm.mixing import op10_mixing
 from quarry.llm.pii import op1_pii
 from quarry.llm.rules import op5_rules
@@ -20,6 +21,7 @@ from quarry.llm.warc import op8_warc
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_quality": op2_quality,
+    "op3_lines": op3_lines,
     "op4_simhash": op4_simhash,
     "op5_rules": op5_rules,
     "op6_substrings": op6_substrings,
