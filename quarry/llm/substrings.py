@@ -5,14 +5,15 @@ words at positions 0, 7, 14, ... of every document are the index; every rolling
 window of as many words is a probe. A window that two documents share holds a
 whole reference block of either, so each probe that meets an index entry of
 another document is an anchor, and anchors extend to the windows around them.
-These windows meet by their own 96-bit hash, the smallest document of each
+These windows meet by their own hash of 80 bits, the smallest document of each
 keeps it, and adjacent windows found in others make up maximal repeats, whose
 words are removed.
 
 Nothing is paired. Probes travel as packed arrays, five bytes each, to the task
 that owns their hash. A hash that a chunk holds in several documents is settled
 in that chunk and sent once, so a passage that many documents share costs one
-entry for each chunk, not for each document. Answers travel back by document.
+entry for each chunk, not for each document. Answers travel back packed, a row
+for each pair of tasks, and are merged to one row for each document.
 The texts themselves are shuffled once, by id; all three readings use that
 shuffle.
 
@@ -32,11 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.tokens import BASES, flat_text, packed, rolling, unpacked, word_bounds, word_hashes
+from quarry.llm.tokens import BASES, flat_text, mixed, packed, rolling, unpacked, word_bounds, word_hashes
 
 WINDOW, BLOCK_WORDS = 13, 7
 CHUNK_BYTES = 8 << 20
 PARTITION_BYTES = 16 << 20
+FOUND_SCHEMA = "part int, found binary, docs binary, counts binary"
 ENTRY_SCHEMA = "part int, settled int, hashes binary, checks binary, docs binary, counts binary, places binary"
 ENTRY_ARROW = pa.schema([("part", pa.int32()), ("settled", pa.int32()), ("hashes", pa.binary()), ("checks", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary()), ("places", pa.binary())])
 
@@ -91,14 +93,24 @@ def _entries(parts: int, owner: np.ndarray, settled: np.ndarray, hashes: np.ndar
     return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), ENTRY_ARROW.types, strict=True)] if rows else [pa.array([], t) for t in ENTRY_ARROW.types], schema=ENTRY_ARROW)
 
 
-def _answers(parts: int, docs: np.ndarray, values: np.ndarray, kind: int) -> pa.RecordBatch:
-    """Rows that pass through a resolver: by document what was already found there (``settled`` is ``kind``, below 0)."""
-    order = np.argsort(docs, kind="stable")
-    docs, values = docs[order], values[order]
-    ids, counts = _by_doc(docs)
-    bounds = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
-    rows = [(int(i % parts), kind, packed(values[bounds[k] : bounds[k + 1]]), b"", packed(ids[k : k + 1]), b"", b"") for k, i in enumerate(ids)]
-    return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), ENTRY_ARROW.types, strict=True)] if rows else [pa.array([], t) for t in ENTRY_ARROW.types], schema=ENTRY_ARROW)
+def _bucket(docs: np.ndarray, parts: int) -> np.ndarray:
+    return (mixed(docs.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
+def _by_bucket(parts: int, docs: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+    """(bucket, values, ids, counts): found values packed by document, a row for each bucket of documents."""
+    buckets = _bucket(docs, parts)
+    order = np.lexsort((docs, buckets))
+    docs, values, buckets = docs[order], values[order], buckets[order]
+    for low, high in zip(starts := np.flatnonzero(np.diff(buckets, prepend=-1)), np.append(starts[1:], len(buckets)), strict=True):
+        ids, counts = _by_doc(docs[low:high])
+        yield int(buckets[low]), packed(values[low:high]), packed(ids), packed(counts)
+
+
+def _answers(parts: int, docs: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    """Rows that pass through a resolver (``settled`` is -1): what was already found in a document."""
+    rows = [(bucket, -1, found, b"", ids, counts, b"") for bucket, found, ids, counts in _by_bucket(parts, docs, values)]
+    return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), ENTRY_ARROW.types, strict=True)], schema=ENTRY_ARROW)
 
 
 def _windows(data: np.ndarray, offsets: np.ndarray, k: int, bases: tuple[int, ...] = BASES[:1]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -130,7 +142,7 @@ def _probe(parts: int, block: int):
                 several = np.zeros(len(order), bool)
                 several[order] = np.repeat(shared, sizes)
                 if several.any():
-                    yield _answers(parts, docs[several], places[several].astype(np.uint32), -1)
+                    yield _answers(parts, docs[several], places[several].astype(np.uint32))
                 sent = ~several
                 sent[order[starts[shared]]] = True
                 keep = np.flatnonzero(sent)
@@ -139,13 +151,15 @@ def _probe(parts: int, block: int):
     return run
 
 
-def _read(batches: Iterator[pa.RecordBatch], hash_type, with_places: bool):
-    """All entries of a partition, and the rows that pass through."""
-    parts, hashes, checks, docs, places, settled, through = [], [], [], [], [], [], []
+def _read(batches: Iterator[pa.RecordBatch], hash_type, value_type):
+    """All entries of a partition, and documents and values of what passes through."""
+    parts, hashes, checks, docs, places, settled, own, through = [], [], [], [], [], [], [], []
     for batch in batches:
         for part, done, h, c, d, n, p in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            ids = np.repeat(unpacked(d, np.int64), unpacked(n, np.uint32))
             if done < 0:
-                through.append((int(unpacked(d, np.int64)[0]), h))
+                own.append(ids)
+                through.append(unpacked(h, value_type))
                 continue
             values = unpacked(h, hash_type)
             hashes.append(values)
@@ -153,32 +167,50 @@ def _read(batches: Iterator[pa.RecordBatch], hash_type, with_places: bool):
             flags = np.zeros(len(values), bool)
             flags[:done] = True
             settled.append(flags)
-            docs += [np.zeros(done, np.int64), np.repeat(unpacked(d, np.int64), unpacked(n, np.uint32))]
+            docs += [np.zeros(done, np.int64), ids]
             if c:
-                checks.append(unpacked(c, np.uint32))
-            if with_places:
+                checks.append(unpacked(c, np.uint16))
+            if p:
                 places += [np.zeros(done, np.int64), np.cumsum(unpacked(p, np.int32), dtype=np.int64)]
+            elif hash_type is np.uint32:
+                places.append(np.zeros(len(values), np.int64))
     join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-    return join(parts, np.uint64), join(hashes, hash_type), join(checks, np.uint32), join(docs, np.int64), join(places, np.int64), join(settled, bool), through
+    return join(parts, np.uint64), join(hashes, hash_type), join(checks, np.uint16), join(docs, np.int64), join(places, np.int64), join(settled, bool), join(own, np.int64), join(through, value_type)
 
 
-def _found(ids: np.ndarray, values: np.ndarray, through: list) -> Iterator[pa.RecordBatch]:
-    """(doc_id, found): packed values by document."""
-    order = np.argsort(ids, kind="stable")
-    ids, values = ids[order], values[order]
-    docs, counts = _by_doc(ids)
-    bounds = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
-    rows = [(int(i), packed(values[bounds[k] : bounds[k + 1]])) for k, i in enumerate(docs)] + through
-    for at in range(0, len(rows), 4096):
-        some = rows[at : at + 4096]
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.int64()), pa.array([x[1] for x in some], pa.binary())], ["doc_id", "found"])
+def _found(parts: int, ids: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of ``FOUND_SCHEMA``."""
+    rows = list(_by_bucket(parts, ids, values))
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "found", "docs", "counts"])
 
 
-def _anchors(block: int):
+def _merge(value_type):
+    """All that was found in a bucket's documents, one row for each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, values = [np.zeros(0, np.int64)], [np.zeros(0, value_type)]
+        for batch in batches:
+            for _, found, docs, counts in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                ids.append(np.repeat(unpacked(docs, np.int64), unpacked(counts, np.uint32)))
+                values.append(unpacked(found, value_type))
+        docs, found = np.concatenate(ids), np.concatenate(values)
+        order = np.lexsort((found, docs))
+        docs, found = docs[order], found[order]
+        ids, counts = _by_doc(docs)
+        bounds = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+        for at in range(0, len(ids), 4096):
+            some = range(at, min(at + 4096, len(ids)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 4096]), pa.array([packed(found[bounds[k] : bounds[k + 1]]) for k in some], pa.binary())], ["doc_id", "found"])
+
+    return run
+
+
+def _anchors(parts_: int, block: int):
     """Entries to anchors: places whose hash an index block has and that two documents share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, hashes, _, docs, places, settled, through = _read(batches, np.uint32, True)
+        parts, hashes, _, docs, places, settled, own_docs, through = _read(batches, np.uint32, np.uint32)
         hit = np.zeros(len(hashes), bool)
         if len(hashes):
             order, starts = _groups((parts << np.uint64(32)) | hashes)
@@ -188,7 +220,7 @@ def _anchors(block: int):
             indexed = np.logical_or.reduceat(done | (places[order] % block == 0), starts)
             hit[order] = np.repeat((several & indexed & (sizes > 1)), sizes)
             hit &= ~settled
-        yield from _found(docs[hit], places[hit].astype(np.uint32), through)
+        yield from _found(parts_, np.concatenate((docs[hit], own_docs)), np.concatenate((places[hit].astype(np.uint32), through)))
 
     return run
 
@@ -211,14 +243,14 @@ def _extend(parts: int, window: int, block: int):
                 near = np.zeros(len(hashes) + 1, np.int64)
                 for k in range(high - low):
                     count = first[k + 1] - first[k]
-                    at = np.concatenate([unpacked(x, np.uint32) for x in anchors[low + k].as_py()]).astype(np.int64)
+                    at = unpacked(anchors[low + k].as_py(), np.uint32).astype(np.int64)
                     begin, end = np.clip(at - (window - block), 0, count), np.clip(at + 1, 0, count)
                     np.add.at(near, first[k] + begin, 1)
                     np.add.at(near, first[k] + end, -1)
                 keep = np.flatnonzero(np.cumsum(near[:-1]) > 0)
                 if not len(keep):
                     continue
-                hashes, checks, docs = hashes[keep], (checks[keep] >> np.uint64(32)).astype(np.uint32), ids[low:high][rows[keep]]
+                hashes, checks, docs = hashes[keep], (checks[keep] >> np.uint64(48)).astype(np.uint16), ids[low:high][rows[keep]]
                 order, starts = _groups(hashes, checks, docs)  # the smallest document of a hash comes first
                 same = np.zeros(len(order), bool)
                 same[1:] = (hashes[order][1:] == hashes[order][:-1]) & (checks[order][1:] == checks[order][:-1])
@@ -228,7 +260,7 @@ def _extend(parts: int, window: int, block: int):
                 once[starts] = True
                 later = once & (docs[order] != lead_doc)
                 if later.any():
-                    yield _answers(parts, docs[order[later]], hashes[order[later]], -1)
+                    yield _answers(parts, docs[order[later]], hashes[order[later]])
                 sent = order[leads]
                 sent = sent[np.argsort(docs[sent], kind="stable")]
                 yield _entries(parts, (checks[sent].astype(np.uint64)) % np.uint64(parts), np.zeros(len(sent), bool), hashes[sent], checks[sent], docs[sent], None)
@@ -236,16 +268,20 @@ def _extend(parts: int, window: int, block: int):
     return run
 
 
-def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _repeats(parts: int):
     """Entries to repeats: window hashes that a smaller document has too."""
-    _, hashes, checks, docs, _, _, through = _read(batches, np.uint64, False)
-    hit = np.zeros(len(hashes), bool)
-    if len(hashes):
-        order, starts = _groups(hashes, checks)
-        sizes = np.diff(np.append(starts, len(order)))
-        own = docs[order]
-        hit[order] = own > np.repeat(np.minimum.reduceat(own, starts), sizes)
-    yield from _found(docs[hit], hashes[hit], through)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, hashes, checks, docs, _, _, own_docs, through = _read(batches, np.uint64, np.uint64)
+        hit = np.zeros(len(hashes), bool)
+        if len(hashes):
+            order, starts = _groups(hashes, checks)
+            sizes = np.diff(np.append(starts, len(order)))
+            own = docs[order]
+            hit[order] = own > np.repeat(np.minimum.reduceat(own, starts), sizes)
+        yield from _found(parts, np.concatenate((docs[hit], own_docs)), np.concatenate((hashes[hit], through)))
+
+    return run
 
 
 def removal_masks(data: np.ndarray, offsets: np.ndarray, repeats: np.ndarray, window: int) -> np.ndarray:
@@ -269,7 +305,7 @@ def _cut(window: int, with_text: bool):
                 words = data[offsets[k] : offsets[k + 1]].tobytes().split()
                 n = len(words)
                 if found.is_valid:
-                    values = np.unique(np.concatenate([unpacked(x, np.uint64) for x in found.as_py()]))
+                    values = unpacked(found.as_py(), np.uint64)
                     gone = removal_masks(data, offsets[k : k + 2], values, window)
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 kept = b" ".join(words)
@@ -296,13 +332,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = True
     # one shuffle of the texts, read three times
     placed = texts.filter(F.col("doc_id").isNotNull()).repartition(parts, "doc_id")
     meet = lambda df: df.repartitionById(parts, F.col("part"))
-    by_doc = lambda df: df.groupBy("doc_id").agg(F.collect_list("found").alias("found"))
-    anchors = by_doc(meet(placed.mapInArrow(_probe(parts, block), ENTRY_SCHEMA)).mapInArrow(_anchors(block), "doc_id long, found binary"))
+    by_doc = lambda df, t: meet(df).mapInArrow(_merge(t), "doc_id long, found binary")
+    anchors = by_doc(meet(placed.mapInArrow(_probe(parts, block), ENTRY_SCHEMA)).mapInArrow(_anchors(parts, block), FOUND_SCHEMA), np.uint32)
     around = placed.join(anchors, "doc_id", "left").select("doc_id", "text", "found")
-    repeats = by_doc(meet(around.mapInArrow(_extend(parts, window, block), ENTRY_SCHEMA)).mapInArrow(_repeats, "doc_id long, found binary"))
+    repeats = by_doc(meet(around.mapInArrow(_extend(parts, window, block), ENTRY_SCHEMA)).mapInArrow(_repeats(parts), FOUND_SCHEMA), np.uint64)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     known = placed.join(repeats, "doc_id", "left").select("doc_id", "text", "found").mapInArrow(_cut(window, with_text), schema)
-    rest = texts.filter(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("array<binary>").alias("found"))
+    rest = texts.filter(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("binary").alias("found"))
     return known.unionByName(rest.mapInArrow(_cut(window, with_text), schema))
 
 
