@@ -58,7 +58,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("shard", shard),
 ]
 
-#: The first stage learns its rules, which SQL cannot express; the tests hold the rest against brute force.
+#: The first stage learns its rules, which SQL cannot express; the tests hold each operator against plain Python.
 ORACLE_SQL: str | None = None
 
 
