@@ -17,6 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _STAGED: list[tuple[SparkSession, str]] = []
+_TABLES: list[tuple[SparkSession, str]] = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -44,7 +45,33 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _at(spark.read.schema(df.schema).parquet(path), path)
+
+
+def stage_bucketed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Like ``stage``, in one bucket for each shuffle partition by ``keys``.
+
+    Aggregates and joins on these keys then read the table without a shuffle.
+    """
+    spark = df.sparkSession
+    path, table = new_path(spark, name), f"quarry_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, *keys).format("parquet").option("path", path).saveAsTable(table)
+    _TABLES.append((spark, table))
+    return _at(spark.table(table), path)
+
+
+def _at(df: DataFrame, path: str) -> DataFrame:
+    df._quarry_path = path
+    return df
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete staged tables now that everything made from them is staged itself."""
+    for df in frames:
+        path = df._quarry_path
+        drop_path(df.sparkSession, path)
+        _STAGED[:] = [x for x in _STAGED if x[1] != path]
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -55,6 +82,10 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 def release() -> None:
     """Delete every table staged so far; results that read them end with this."""
+    while _TABLES:
+        spark, table = _TABLES.pop()
+        with contextlib.suppress(Exception):  # the session may have ended
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
     while _STAGED:
         spark, path = _STAGED.pop()
         with contextlib.suppress(Exception):  # the session may have ended
