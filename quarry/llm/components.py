@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.plans.staging import stage
+from quarry.plans.staging import discard, stage
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -33,7 +33,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "edges"
         large = stage(large, name)
         lowest = large.groupBy("hi").agg(F.min("lo").alias("m"))
         moved = large.join(lowest, "hi").filter("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        pairs = stage(moved.unionByName(lowest.select("hi", F.col("m").alias("lo"))).distinct(), name)
+        last, pairs = pairs, stage(moved.unionByName(lowest.select("hi", F.col("m").alias("lo"))).distinct(), name)
+        discard(last, large)
         after = _state(pairs)
         if after == before:
             break
