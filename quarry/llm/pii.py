@@ -14,8 +14,8 @@ pieces between matches and a prefix sum in blocks, so many matches stay cheap.
 Patterns are possessive and begin only where a match can begin, so that long
 runs of digits or letters cost linear time.
 
-Counts: a term's joint count is the number of different texts that hold both;
-its total is the number of rows that hold it; both over all rows.
+Counts: a term's joint count is the number of rows that hold both, its total
+that of rows that hold it, a kind's rate its share of the rows; all over all rows.
 
 Defined cases: null text is empty, null ids and repeated rows are reported row
 by row, an empty table gives no rows, extra columns are ignored.
@@ -132,8 +132,7 @@ def with_entities(docs: DataFrame) -> DataFrame:
 def disclosing_terms(docs: DataFrame, entities: DataFrame, least: float = GENERALISE, min_texts: int = MIN_TEXTS) -> DataFrame:
     """(term, kind, joint, total, disclosure) of the terms at ``least`` or more."""
     n = entities.agg(F.count("*").alias("n"), *[F.count_if(F.exists("base", _is(k))).alias(f"k{k}") for k in range(len(KINDS))]).first()
-    held = entities.filter(F.col("text").isNotNull()).select(F.xxhash64("text").alias("key"), F.md5(F.col("text").cast("binary")).alias("digest"), F.array_distinct(F.transform("base", lambda x: x["kind"])).alias("kinds"), terms(F.col("text")).alias("terms"))
-    held = held.dropDuplicates(["key", "digest"]).select(F.explode("terms").alias("term"), "kinds").select("term", F.explode("kinds").alias("kind"))
+    held = entities.filter(F.col("text").isNotNull()).select(F.explode(terms(F.col("text"))).alias("term"), F.array_distinct(F.transform("base", lambda x: x["kind"])).alias("kinds")).select("term", F.explode("kinds").alias("kind"))
     joint = stage(held.groupBy("term", "kind").agg(F.count("*").alias("joint")).filter(F.col("joint") >= min_texts), "pii-joint")
     wanted = stage(joint.select("term").distinct(), "pii-terms")
     total = docs.select(F.explode(terms(full_text(F.col("text")))).alias("term")).join(wanted, "term").groupBy("term").agg(F.count("*").alias("total"))

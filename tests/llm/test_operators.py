@@ -56,6 +56,14 @@ def test_pii_terms_that_reveal(spark):
     assert "[EMAIL]" in found[1003]["clean"] and "zyxd" in found[1003]["clean"]
 
 
+def test_pii_copies_count_alike(spark):
+    plain = [f"plain words number {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}x here" for i in range(2300)]
+    texts = [x for i in range(20) for x in [f"zyxterm {chr(97 + i)}q wrote to me{i}@mail.example.com"] * 2]
+    docs = spark.createDataFrame(list(enumerate(plain + texts)), "doc_id long, text string")
+    found = {r["term"]: r for r in pii.disclosing_terms(docs, pii.with_entities(docs)).collect()}
+    assert (found["zyxterm"]["joint"], found["zyxterm"]["total"]) == (40, 40) and found["zyxterm"]["disclosure"] > 0.95
+
+
 def test_rules_statistics(spark):
     rows = corpus() + [(2000, "a b c a b c a b c\nline\nline\n\nx #$ | <", "a", "x")]
     got = {(r["doc_id"], r["text"]): r["stats"] for r in rules.with_statistics(spark.createDataFrame(rows, DOCS).select("doc_id", "text")).collect()}
