@@ -42,7 +42,7 @@ PATTERNS = (
 #: What a text must hold for the pattern to be tried at all.
 HINTS = ("@", "[0-9]\\.[0-9]", "(?:[0-9][\\x20-]?){14}", "\\+[0-9]")
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
-GENERALISE, REMOVE, MIN_TEXTS, Z = 0.8, 0.9, 3, 1.96
+GENERALISE, REMOVE, Z = 0.8, 0.9, 1.96
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 STEP = 256
 
@@ -129,11 +129,11 @@ def with_entities(docs: DataFrame) -> DataFrame:
     return stage(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "pii-entities")
 
 
-def disclosing_terms(docs: DataFrame, entities: DataFrame, least: float = GENERALISE, min_texts: int = MIN_TEXTS) -> DataFrame:
+def disclosing_terms(docs: DataFrame, entities: DataFrame, least: float = GENERALISE) -> DataFrame:
     """(term, kind, joint, total, disclosure) of the terms at ``least`` or more."""
     n = entities.agg(F.count("*").alias("n"), *[F.count_if(F.exists("base", _is(k))).alias(f"k{k}") for k in range(len(KINDS))]).first()
     held = entities.filter(F.col("text").isNotNull()).select(F.explode(terms(F.col("text"))).alias("term"), F.array_distinct(F.transform("base", lambda x: x["kind"])).alias("kinds")).select("term", F.explode("kinds").alias("kind"))
-    joint = stage(held.groupBy("term", "kind").agg(F.count("*").alias("joint")).filter(F.col("joint") >= min_texts), "pii-joint")
+    joint = stage(held.groupBy("term", "kind").agg(F.count("*").alias("joint")), "pii-joint")
     wanted = stage(joint.select("term").distinct(), "pii-terms")
     total = docs.select(F.explode(terms(full_text(F.col("text")))).alias("term")).join(wanted, "term").groupBy("term").agg(F.count("*").alias("total"))
     share = F.col("joint") / F.col("total")

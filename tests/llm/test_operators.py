@@ -64,6 +64,13 @@ def test_pii_copies_count_alike(spark):
     assert (found["zyxterm"]["joint"], found["zyxterm"]["total"]) == (40, 40) and found["zyxterm"]["disclosure"] > 0.95
 
 
+def test_pii_interval_alone_guards_few_rows(spark):
+    rows = [(i, f"plain words number {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}x here") for i in range(1000)] + [(2000, "qqterm and aay at 10.0.0.1"), (2001, "qqterm and bby at 10.0.0.2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["term"]: r for r in pii.disclosing_terms(docs, pii.with_entities(docs)).collect()}
+    assert found["qqterm"]["joint"] == 2 and "aay" not in found
+
+
 def test_rules_statistics(spark):
     rows = corpus() + [(2000, "a b c a b c a b c\nline\nline\n\nx #$ | <", "a", "x")]
     got = {(r["doc_id"], r["text"]): r["stats"] for r in rules.with_statistics(spark.createDataFrame(rows, DOCS).select("doc_id", "text")).collect()}
