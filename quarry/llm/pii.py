@@ -118,8 +118,8 @@ def span_text(spans: Column) -> Column:
 
 
 def terms(text: Column) -> Column:
-    """Different lower-cased words of two letters or more."""
-    return F.array_distinct(F.transform(F.filter(F.split(text, "[^\\p{L}]+"), lambda x: F.length(x) > 1), lambda x: F.lower(x)))
+    """Different lower-cased words of two letters or digits or more."""
+    return F.array_distinct(F.transform(F.filter(F.split(text, "[^\\p{L}\\p{N}]+"), lambda x: F.length(x) > 1), lambda x: F.lower(x)))
 
 
 def with_entities(docs: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def with_terms(entities: DataFrame, disclosing: DataFrame) -> DataFrame:
     """Add ``added``: (start, kind, end, removed) of revealing terms, beside the text's own entities."""
     rows = entities.filter(F.col("text").isNotNull())
     apart = lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    tokens = rows.select("row", F.array_distinct(F.transform("base", lambda x: x["kind"])).alias("kinds"), F.explode(F.filter(located(F.col("text"), "\\p{L}+"), lambda t: (F.length(t["found"]) > 1) & apart(t))).alias("t"))
+    tokens = rows.select("row", F.array_distinct(F.transform("base", lambda x: x["kind"])).alias("kinds"), F.explode(F.filter(located(F.col("text"), "[\\p{L}\\p{N}]+"), lambda t: (F.length(t["found"]) > 1) & apart(t))).alias("t"))
     met = tokens.select("row", "kinds", "t.start", "t.end", F.lower("t.found").alias("term")).join(disclosing, "term").filter(F.array_contains("kinds", F.col("kind")))
     spans = met.groupBy("row", "start", "end").agg(F.max("disclosure").alias("d"))
     added = spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", F.lit(TERM).alias("kind"), "end", (F.col("d") >= REMOVE).alias("removed")))).alias("added"))

@@ -71,6 +71,12 @@ def test_pii_interval_alone_guards_few_rows(spark):
     assert found["qqterm"]["joint"] == 2 and "aay" not in found
 
 
+def test_pii_terms_hold_digits(spark):
+    rows = [(i, f"plain words number {i} here") for i in range(1000)] + [(2000 + i, f"case 7f3k9 of {chr(97 + i)}y wrote to me{i}@mail.example.com") for i in range(12)]
+    found = {r["doc_id"]: r["clean"] for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "7f3k9" not in found[2003] and "[EMAIL]" in found[2003]
+
+
 def test_rules_statistics(spark):
     rows = corpus() + [(2000, "a b c a b c a b c\nline\nline\n\nx #$ | <", "a", "x")]
     got = {(r["doc_id"], r["text"]): r["stats"] for r in rules.with_statistics(spark.createDataFrame(rows, DOCS).select("doc_id", "text")).collect()}
