@@ -9,6 +9,9 @@ offset gives the place where the window would begin, the length and positional
 bounds drop places outside the document, and what is left is verified word by
 word in the document's own text.
 
+Texts are read again only where a document met a window; for the rest the number
+of words is all that is left to say.
+
 Only hashes and positions pass through the join. The token list of the
 benchmark is written to a table first, so Spark compares its size with the
 broadcast threshold and shuffles both sides beyond it.
@@ -23,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.text import LOWER, UPPER, full_text, let, sha256_hex
+from quarry.llm.text import LOWER, UPPER, full_text, let, packed_row, sha256_hex
 from quarry.plans.staging import stage
 
 WINDOW, SHINGLE = 10, 5
@@ -51,12 +54,12 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def token_rows(docs: DataFrame, sizes: list[int]) -> DataFrame:
-    """(doc_id, text_key, pos, token): every shingle of every document."""
-    arrays = lambda w: F.array(*[shingle_hashes(w, k) for k in sizes])
-    hashed = docs.select("doc_id", F.xxhash64(full_text(F.col("text"))).alias("text_key"), let(alnum_words(F.col("text")), arrays).alias("tokens"))
+    """(doc_id, text_key, n_words, pos, token): every shingle of every document."""
+    arrays = lambda w: F.struct(F.size(w).alias("n_words"), F.array(*[shingle_hashes(w, k) for k in sizes]).alias("tokens"))
+    hashed = docs.select("doc_id", F.xxhash64(full_text(F.col("text"))).alias("text_key"), let(alnum_words(F.col("text")), arrays).alias("x")).select("doc_id", "text_key", "x.*")
     if len(sizes) == 1:
-        return hashed.select("doc_id", "text_key", F.posexplode(F.col("tokens")[0]).alias("pos", "token"))
-    return hashed.select("doc_id", "text_key", F.explode("tokens").alias("tokens")).select("doc_id", "text_key", F.posexplode("tokens").alias("pos", "token"))
+        return hashed.select("doc_id", "text_key", "n_words", F.posexplode(F.col("tokens")[0]).alias("pos", "token"))
+    return hashed.select("doc_id", "text_key", "n_words", F.explode("tokens").alias("tokens")).select("doc_id", "text_key", "n_words", F.posexplode("tokens").alias("pos", "token"))
 
 
 def candidates(docs: DataFrame, windows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -74,8 +77,9 @@ def candidates(docs: DataFrame, windows: DataFrame, shingle: int = SHINGLE) -> D
     prefix = stage(prefix, "prefix-tokens")
     keys = stage(prefix.select("token").distinct(), "prefix-keys")
     met = rows.join(keys, "token")
-    placed = met.join(prefix, "token").withColumn("start", F.col("pos") - F.col("offset")).filter("start >= 0")
-    return placed.select("doc_id", "text_key", "start", "window_id")
+    # the window must begin in the document and end in it
+    placed = met.join(prefix, "token").filter("pos >= offset and pos - offset + length <= n_words")
+    return placed.select("doc_id", "text_key", (F.col("pos") - F.col("offset")).alias("start"), "window_id")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
@@ -84,25 +88,36 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     windows = membership.select("window_id", "words").distinct()
     found = candidates(docs, windows, shingle).join(windows, "window_id")
     by_doc = found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "window_id", "words")).alias("found")).withColumnsRenamed({"doc_id": "_doc", "text_key": "_key"})
+    by_doc = stage(by_doc, "candidates")
     texts = docs.select("doc_id", "text", F.xxhash64(full_text(F.col("text"))).alias("text_key"))
-    met = texts.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key")), "left")
+    met = texts.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key")))
 
     def verified(w: Column) -> Column:
-        true = F.filter(F.coalesce(F.col("found"), F.array().cast("array<struct<start:int,window_id:string,words:array<string>>>")), lambda x: (x["start"] + F.size(x["words"]) <= F.size(w)) & (F.slice(w, x["start"] + 1, F.size(x["words"])) == x["words"]))
-        return F.struct(F.size(w).cast("long").alias("n_words"), F.transform(true, lambda x: F.struct(x["start"].alias("start"), F.size(x["words"]).alias("length"), x["window_id"].alias("window_id"))).alias("hits"))
+        true = F.filter("found", lambda x: (F.slice(w, x["start"] + 1, F.size(x["words"])) == x["words"]))
+        return F.transform(true, lambda x: F.struct(x["start"].alias("start"), F.size(x["words"]).alias("length"), x["window_id"].alias("window_id")))
 
-    checked = met.select("doc_id", "text_key", let(alnum_words(F.col("text")), verified).alias("v")).select("doc_id", "text_key", "v.*")
+    checked = met.select("doc_id", "text_key", let(alnum_words(F.col("text")), verified).alias("hits")).filter(F.size("hits") > 0).dropDuplicates(["doc_id", "text_key"])
     checked = stage(checked, "verified")
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
     cover = lambda acc, x: F.struct(F.greatest(acc["end"], x["start"] + x["length"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), x["start"] + x["length"] - F.greatest(acc["end"], x["start"]))).alias("n"))
     n_hit = F.aggregate(F.sort_array(F.transform("hits", lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length")))), zero, cover, lambda acc: acc["n"])
-    pairs = checked.filter(F.size("hits") > 0).select("doc_id", "text_key", F.explode(F.array_distinct(F.transform("hits", lambda x: x["window_id"]))).alias("window_id"))
+    pairs = checked.select("doc_id", "text_key", F.explode(F.array_distinct(F.transform("hits", lambda x: x["window_id"]))).alias("window_id"))
     items_of = pairs.join(membership.select("window_id", "item_id"), "window_id").groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids")).withColumnsRenamed({"doc_id": "_doc", "text_key": "_key"})
-    out = checked.select("doc_id", "text_key", "n_words", n_hit.alias("n_hit")).join(items_of, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key")), "left")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key"))
+    hit = stage(checked.select("doc_id", "text_key", n_hit.alias("n_hit")).join(items_of, same).select("_doc", "_key", "n_hit", "item_ids"), "contaminated")
+    counted = docs.select("doc_id", F.xxhash64(full_text(F.col("text"))).alias("text_key"), F.size(alnum_words(F.col("text"))).cast("long").alias("n_words"))
+    out = counted.join(hit, same, "left").withColumn("n_hit", F.coalesce("n_hit", F.lit(0)).cast("long"))
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
     return out.select("doc_id", "text_key", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"))
 
 
+def uncontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` that hold no window of any item, with their columns."""
+    found = contamination(docs, items, window, shingle).filter("n_hit > 0").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).distinct()
+    keyed = docs.select(packed_row(docs), F.col("doc_id").alias("_own"), F.xxhash64(full_text(F.col("text"))).alias("_text_key"))
+    return keyed.join(stage(found, "hit"), F.col("_own").eqNullSafe(F.col("_doc")) & (F.col("_text_key") == F.col("_key")), "left_anti").select("row.*")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents against all windows of ten words of the benchmark."""
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))

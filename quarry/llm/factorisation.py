@@ -71,9 +71,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     begin = begin[begin < len(own)]
     stop = np.minimum(np.append(begin[1:], len(own)), len(own))
     owner = np.searchsorted(at, begin, "right") - 1
-    full = stop - begin > 1
-    begin, stop, owner = begin[full], stop[full], owner[full]
-    tail = own[stop - 1] == 10
+    tail = own[stop - 1] == 10 if len(begin) else np.zeros(0, bool)
+    full = stop - begin > tail
+    begin, stop, owner, tail = begin[full], stop[full], owner[full], tail[full]
     lines = np.bincount(owner, minlength=n)
     codes = word_hashes(own, begin, stop - tail) if len(begin) else np.zeros(0, np.uint64)
     order = np.lexsort((codes, owner))
@@ -141,7 +141,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN) ->
     """Inputs and labels of at most ``bound`` labelled rows that are not held out."""
     agreed = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("_y")).filter("y = _y").filter(~is_held_out(F.col("doc_id")))
     some = agreed.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary"))).limit(bound).select("doc_id", "y")
-    met = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most ``bound`` rows
+    met = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # at most ``bound`` rows, more where ids repeat
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,7 +153,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = MAX_TRAIN) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "y", "at", "x"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    got = met.select("doc_id", "text", F.col("y").cast("int")).mapInArrow(sparse, f"doc_id {kind}, y int, at binary, x binary").orderBy("doc_id", "at", "x").limit(2 * bound).collect()
+    got = met.select("doc_id", "text", F.col("y").cast("int")).mapInArrow(sparse, f"doc_id {kind}, y int, at binary, x binary").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "at", "x").limit(bound).collect()
     x = np.zeros((len(got), BUCKETS + len(STATISTICS)), np.float32)
     for k, r in enumerate(got):
         x[k, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["x"], np.float32)

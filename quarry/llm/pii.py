@@ -5,7 +5,8 @@ occurs mostly where a kind of entity does reveals that kind: its pointwise
 mutual information with the kind, as a share of the kind's own information,
 is its disclosure. The share uses the lower end of Wilson's interval for
 P(kind | term), so few observations never count as certainty and the rule is
-the same at every corpus size. In texts that hold an entity of the kind, terms
+the same at every corpus size. Terms are counted map-side before they are
+shuffled, so a frequent word is a row for each task. In texts that hold an entity of the kind, terms
 at ``GENERALISE`` or more are generalised and those at ``REMOVE`` or more are
 removed; other texts stay as they are.
 
@@ -14,8 +15,11 @@ pieces between matches and a prefix sum in blocks, so many matches stay cheap.
 Patterns are possessive and begin only where a match can begin, so that long
 runs of digits or letters cost linear time.
 
-Counts: a term's joint count is the number of rows that hold both, its total
-that of rows that hold it, a kind's rate its share of the rows; all over all rows.
+Counts are over different texts: a term's joint count is the number of those
+that hold both, its total that of those that hold it, a kind's rate its share of
+them. Copies of a text so add nothing to the evidence, and each text is worked
+on once. A term counts only outside the entities of a text: the pieces of an
+e-mail address reveal nothing that the address does not.
 
 Defined cases: null text is empty, null ids and repeated rows are reported row
 by row, an empty table gives no rows, extra columns are ignored.
@@ -122,37 +126,48 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.split(text, "[^\\p{L}\\p{N}]+"), lambda x: F.length(x) > 1), lambda x: F.lower(x)))
 
 
+def text_keys(text: Column) -> list[Column]:
+    """128 bits that stand for a text."""
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
+
+
 def with_entities(docs: DataFrame) -> DataFrame:
-    """Staged (row, doc_id, base, text): ``text`` only where there is an entity."""
+    """Staged (k1, k2, text, base): the different texts and their entities."""
     text = full_text(F.col("text"))
-    found = docs.select("doc_id", text.alias("text"), entity_spans(text).alias("base"))
-    return stage(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "pii-entities")
+    each = docs.select(text.alias("text"), *text_keys(text)).groupBy("k1", "k2").agg(F.min("text").alias("text"))
+    return stage(each.select("k1", "k2", "text", entity_spans(F.col("text")).alias("base")), "pii-entities")
+
+
+def outside(text: Column, base: Column) -> Column:
+    """The text with a space for each of its entities."""
+    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    step = lambda acc, x: F.struct(F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.greatest(F.lit(0), x["start"] - acc["at"])), F.lit(" ")).alias("out"), F.greatest(acc["at"], x["end"]).alias("at"))
+    blanked = F.aggregate(base, zero, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(base) == 0, text).otherwise(blanked)
 
 
-def disclosing_terms(docs: DataFrame, entities: DataFrame, least: float = GENERALISE) -> DataFrame:
+def disclosing_terms(entities: DataFrame, least: float = GENERALISE) -> DataFrame:
     """(term, kind, joint, total, disclosure) of the terms at ``least`` or more."""
     n = entities.agg(F.count("*").alias("n"), *[F.count_if(F.exists("base", _is(k))).alias(f"k{k}") for k in range(len(KINDS))]).first()
-    held = entities.filter(F.col("text").isNotNull()).select(F.explode(terms(F.col("text"))).alias("term"), F.array_distinct(F.transform("base", lambda x: x["kind"])).alias("kinds")).select("term", F.explode("kinds").alias("kind"))
-    joint = stage(held.groupBy("term", "kind").agg(F.count("*").alias("joint")), "pii-joint")
-    wanted = stage(joint.select("term").distinct(), "pii-terms")
-    total = docs.select(F.explode(terms(full_text(F.col("text")))).alias("term")).join(wanted, "term").groupBy("term").agg(F.count("*").alias("total"))
+    words = entities.select(F.array_distinct(F.transform("base", lambda x: x["kind"])).alias("kinds"), F.explode(terms(outside(F.col("text"), F.col("base")))).alias("term"))
+    sums = words.groupBy("term").agg(F.count("*").alias("total"), *[F.count_if(F.array_contains("kinds", k)).alias(f"j{k}") for k in range(len(KINDS))])
+    by_kind = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"j{k}").alias("joint"), F.lit(n[f"k{k}"] / n["n"] if n["n"] else 0.0).alias("rate")) for k in range(len(KINDS))]))
+    scored = sums.select("term", "total", by_kind.alias("x")).select("term", "total", "x.*").filter("joint > 0 and rate > 0 and rate < 1")
     share = F.col("joint") / F.col("total")
     low = (share + Z * Z / (2 * F.col("total")) - Z * F.sqrt(share * (1 - share) / F.col("total") + Z * Z / (4 * F.col("total") * F.col("total")))) / (1 + Z * Z / F.col("total"))
-    rate = F.get(F.array(*[F.lit(n[f"k{k}"] / n["n"] if n["n"] else 0.0) for k in range(len(KINDS))]), F.col("kind"))
-    scored = joint.join(total, "term").withColumn("rate", rate).filter("rate > 0 and rate < 1 and joint <= total")
     return scored.withColumn("disclosure", F.log2(low / F.col("rate")) / -F.log2("rate")).filter(F.col("disclosure") >= least).select("term", "kind", "joint", "total", "disclosure")
 
 
 def with_terms(entities: DataFrame, disclosing: DataFrame) -> DataFrame:
-    """Add ``added``: (start, kind, end, removed) of revealing terms, beside the text's own entities."""
-    rows = entities.filter(F.col("text").isNotNull())
+    """(k1, k2, text, base, added) of the texts with entities; ``added``: (start, kind, end, removed) of revealing terms beside them."""
+    rows = entities.filter(F.size("base") > 0)
     apart = lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    tokens = rows.select("row", F.array_distinct(F.transform("base", lambda x: x["kind"])).alias("kinds"), F.explode(F.filter(located(F.col("text"), "[\\p{L}\\p{N}]+"), lambda t: (F.length(t["found"]) > 1) & apart(t))).alias("t"))
-    met = tokens.select("row", "kinds", "t.start", "t.end", F.lower("t.found").alias("term")).join(disclosing, "term").filter(F.array_contains("kinds", F.col("kind")))
-    spans = met.groupBy("row", "start", "end").agg(F.max("disclosure").alias("d"))
-    added = spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", F.lit(TERM).alias("kind"), "end", (F.col("d") >= REMOVE).alias("removed")))).alias("added"))
+    tokens = rows.select("k1", "k2", F.array_distinct(F.transform("base", lambda x: x["kind"])).alias("kinds"), F.explode(F.filter(located(F.col("text"), "[\\p{L}\\p{N}]+"), lambda t: (F.length(t["found"]) > 1) & apart(t))).alias("t"))
+    met = tokens.select("k1", "k2", "kinds", "t.start", "t.end", F.lower("t.found").alias("term")).join(disclosing, "term").filter(F.array_contains("kinds", F.col("kind")))
+    spans = met.groupBy("k1", "k2", "start", "end").agg(F.max("disclosure").alias("d"))
+    added = spans.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("start", F.lit(TERM).alias("kind"), "end", (F.col("d") >= REMOVE).alias("removed")))).alias("added"))  # of one text
     none = F.array().cast("array<struct<start:int,kind:int,end:int,removed:boolean>>")
-    return entities.join(added, "row", "left").withColumn("added", F.coalesce("added", none))
+    return rows.join(added, ["k1", "k2"], "left").withColumn("added", F.coalesce("added", none))
 
 
 def redacted(text: Column, base: Column, added: Column) -> Column:
@@ -165,13 +180,16 @@ def redacted(text: Column, base: Column, added: Column) -> Column:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, base, added, clean): the entities, the revealing terms and the redacted text.
+    """(doc_id, base, added, clean) of every row: the entities, the revealing terms and the redacted text.
 
     ``clean`` is null where the text holds no entity and so stays as it is.
     """
     entities = with_entities(docs)
-    marked = with_terms(entities, stage(disclosing_terms(docs, entities), "pii-disclosing"))
-    return marked.select("row", "doc_id", "base", "added", redacted(F.col("text"), F.col("base"), F.col("added")).alias("clean"))
+    marked = with_terms(entities, stage(disclosing_terms(entities), "pii-disclosing"))
+    found = stage(marked.select("k1", "k2", "base", "added", redacted(F.col("text"), F.col("base"), F.col("added")).alias("clean")), "pii-found")
+    rows = docs.select("doc_id", *text_keys(full_text(F.col("text")))).join(found, ["k1", "k2"], "left")
+    none = lambda c: F.coalesce(c, F.array().cast(found.schema[c].dataType))
+    return rows.select("doc_id", none("base").alias("base"), none("added").alias("added"), "clean")
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from quarry.llm.decontaminate import op9_decontaminate
 from quarry.llm.factorisation import op2_quality
 from quarry.llm.lines import op3_lines
@@ -18,6 +17,14 @@ from quarry.llm.simhash import op4_simhash
 from quarry.llm.substrings import op6_substrings
 from quarry.llm.warc import op8_warc
 
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents through the stages of ``corpus_pipeline``, which imports this folder's operators itself."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_quality": op2_quality,
@@ -29,7 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_decontaminate": op9_decontaminate,
     "op10_mixing": op10_mixing,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -185,8 +185,8 @@ def learn_rules(rows: DataFrame, min_precision: float = MIN_PRECISION, min_cover
 
 def rule_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the base rule and the learned list keep, with their columns."""
-    known = docs.select(id_col, text_col).filter(~is_held_out(F.col(id_col))).join(labels.select(id_col).distinct(), id_col, "left_semi")
-    learned = learn_rules(stage(labelled(with_statistics(known, text_col), labels, id_col), "rule-rows"))
+    known = docs.select(id_col, text_col).filter(~is_held_out(F.col(id_col)))
+    learned = learn_rules(stage(labelled(with_statistics(known, text_col).select(id_col, "stats"), labels, id_col), "rule-rows"))
     bare = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("_text"))
     return with_statistics(bare, "_text").filter(learned.kept(F.col("stats"))).select("row.*")
 

@@ -5,8 +5,10 @@ words at positions 0, 7, 14, ... of every document are the index; every rolling
 window of as many words is a probe. A window that two documents share holds a
 whole reference block of either, so each probe that meets an index entry of
 another document is an anchor, and anchors extend to the windows around them.
-These windows meet by their own hash of 80 bits, the smallest document of each
-keeps it, and adjacent windows found in others make up maximal repeats, whose
+These windows meet by their own hash of 80 bits (every byte of every word passes
+through a mixing step, so no two words or windows fall together by their form; a
+pair of different windows does with a chance of 1e-24), the smallest document of
+each keeps it, and adjacent windows found in others make up maximal repeats, whose
 words are removed.
 
 Nothing is paired. Probes travel as packed arrays, five bytes each, to the task
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.tokens import BASES, flat_text, mixed, packed, rolling, unpacked, word_bounds, word_hashes
+from quarry.llm.tokens import SEEDS, flat_text, mixed, packed, rolling, unpacked, word_bounds, word_hashes
 
 WINDOW, BLOCK_WORDS = 13, 7
 CHUNK_BYTES = 8 << 20
@@ -99,6 +101,8 @@ def _bucket(docs: np.ndarray, parts: int) -> np.ndarray:
 
 def _by_bucket(parts: int, docs: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, bytes, bytes, bytes]]:
     """(bucket, values, ids, counts): found values packed by document, a row for each bucket of documents."""
+    if not len(docs):
+        return
     buckets = _bucket(docs, parts)
     order = np.lexsort((docs, buckets))
     docs, values, buckets = docs[order], values[order], buckets[order]
@@ -113,14 +117,14 @@ def _answers(parts: int, docs: np.ndarray, values: np.ndarray) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), ENTRY_ARROW.types, strict=True)], schema=ENTRY_ARROW)
 
 
-def _windows(data: np.ndarray, offsets: np.ndarray, k: int, bases: tuple[int, ...] = BASES[:1]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Hashes of all runs of k words (one array for each base), and row and place of each."""
+def _windows(data: np.ndarray, offsets: np.ndarray, k: int, seeds: tuple[int, ...] = SEEDS[:1]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Hashes of all runs of k words (one array for each seed), and row and place of each."""
     starts, ends, words = word_bounds(data, offsets)
     counts = np.diff(words)
     rows = np.repeat(np.arange(len(counts)), counts)
     places = np.arange(len(starts)) - np.repeat(words[:-1], counts)
     whole = np.flatnonzero(places + k <= np.repeat(counts, counts))
-    return [rolling(word_hashes(data, starts, ends, b), k, b)[whole] if len(whole) else np.zeros(0, np.uint64) for b in bases], rows[whole], places[whole]
+    return [rolling(word_hashes(data, starts, ends, b), k, b)[whole] if len(whole) else np.zeros(0, np.uint64) for b in seeds], rows[whole], places[whole]
 
 
 def _probe(parts: int, block: int):
@@ -236,7 +240,7 @@ def _extend(parts: int, window: int, block: int):
             data, offsets = flat_text(some.column(1))
             anchors = some.column(2)
             for low, high in _chunks(offsets):
-                (hashes, checks), rows, places = _windows(data, offsets[low : high + 1], window, BASES)
+                (hashes, checks), rows, places = _windows(data, offsets[low : high + 1], window, SEEDS)
                 if not len(hashes):
                     continue
                 first = np.searchsorted(rows, np.arange(high - low + 1))

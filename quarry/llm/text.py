@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.plans.staging import stage
+
 #: The ASCII white space that separates words.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
@@ -54,3 +57,18 @@ def is_held_out(doc_id: Column) -> Column:
 
 def sha256_hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
+
+
+def packed_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that no name of theirs meets a computed column's."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
+def located(df: DataFrame) -> DataFrame:
+    """(row, _file, _at): each row as a struct, and where it is stored; frames that are not read from files are staged."""
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at")]
+    try:
+        return df.select(packed_row(df), *place)
+    except AnalysisException:
+        written = stage(df.select(packed_row(df)), "rows")
+        return written.select("row", *place)

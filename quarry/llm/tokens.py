@@ -8,11 +8,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-#: Bytes whose powers are held at a time.
-BLOCK = 1 << 21
-#: Odd multipliers of two independent polynomial hashes, and SplitMix64's constants.
-BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: SplitMix64's constants.
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Where the hashes begin.
+SEEDS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: Keeps the first k bytes of a little-endian word.
+HEAD = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -48,36 +49,38 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASES[0]) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
-    out = np.zeros(len(starts), np.uint64)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = SEEDS[0]) -> np.ndarray:
+    """A 64-bit hash of each word's length and bytes: eight at a time, each time mixed with all before."""
     if not len(starts):
-        return out
-    longest = int((ends - starts).max())
-    powers = np.ones(longest, np.uint64)
-    powers[1:] = np.multiply.accumulate(np.full(longest - 1, base, np.uint64)) if longest > 1 else 0
-    at = 0
-    while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + BLOCK, "right")))
-        sizes = ends[at:to] - starts[at:to]
-        begin = np.concatenate(([0], np.cumsum(sizes)))
-        within = np.arange(begin[-1]) - np.repeat(begin[:-1], sizes)
-        values = data[np.repeat(starts[at:to], sizes) + within].astype(np.uint64) + np.uint64(1)
-        out[at:to] = np.add.reduceat(values * powers[within], begin[:-1])
-        at = to
-    return mixed(out)
-
-
-def rolling(hashes: np.ndarray, k: int, base: int = BASES[0]) -> np.ndarray:
+        return np.zeros(0, np.uint64)
+    out = mixed((ends - starts).astype(np.uint64) ^ np.uint64(seed))
+    low, high = int(starts[0]), int(ends[-1])
+    padded = np.concatenate((data[low:high], np.zeros(8, np.uint8)))
+    eights = np.ndarray((high - low + 1,), "<u8", padded, strides=(1,))
+    at, left = starts - low, ends - starts
+    some = None  # the words that are longer than what was read; all of them at first
+    while True:
+        x = eights[at] & HEAD[np.minimum(left, 8)]
+        if some is None:
+            out = mixed(out ^ x)
+        else:
+            out[some] = mixed(out[some] ^ x)
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            return out
+        some = more if some is None else some[more]
+        at, left = at[more] + 8, left[more] - 8
+
+
+def rolling(hashes: np.ndarray, k: int, seed: int = SEEDS[0]) -> np.ndarray:
     """A hash of each run of ``k`` word hashes; runs across texts are the caller's to drop."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    factor = np.uint64(1)
+    out = np.full(n, seed, np.uint64)
     for j in range(k):
-        out += hashes[j : j + n] * factor
-        factor = np.uint64((int(factor) * base) & 0xFFFFFFFFFFFFFFFF)
+        out = (out ^ hashes[j : j + n]) * MIX_A
+        out ^= out >> np.uint64(32)
     return mixed(out)
 
 

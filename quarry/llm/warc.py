@@ -13,8 +13,9 @@ index lists count, so a repeated task leaves nothing wrong behind.
 
 Defined cases: a null payload counts as empty, null ids are never referred to
 (rows of one payload that all lack an id are all responses), repeated rows with
-the smallest id are all responses, an empty table makes no bundle, extra
-columns are ignored.
+the smallest id are all responses, records of rows that repeat an id get a
+suffix to their identifiers, an empty table makes no bundle, extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -56,9 +57,9 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def make_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str = "1970-01-01T00:00:00Z") -> tuple[str, bytes]:
-    """Record identifier and bytes of one WARC record."""
-    name = f"{ID_PREFIX}{page_id}" if page_id is not None else f"urn:uuid:{uuid.uuid4()}"
+def make_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, suffix: str = "", date: str = "1970-01-01T00:00:00Z") -> tuple[str, bytes]:
+    """Record identifier and bytes of one WARC record; pages have no date of their own, so all records bear the same one."""
+    name = f"{ID_PREFIX}{page_id}{suffix}" if page_id is not None else f"urn:uuid:{uuid.uuid4()}"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if refers_to is None else http
     head = [
@@ -90,7 +91,7 @@ def parse_records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
 
 def page_of(name: str | None) -> int | None:
     bare = (name or "").strip("<>")
-    return int(bare[len(ID_PREFIX) :]) if bare.startswith(ID_PREFIX) else None
+    return int(bare[len(ID_PREFIX) :].partition("#")[0]) if bare.startswith(ID_PREFIX) else None
 
 
 def seek_table(frames: list[tuple[int, int]]) -> bytes:
@@ -115,18 +116,22 @@ def read_seek_table(file, size: int) -> list[tuple[int, int, int]]:
 
 
 def with_revisits(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """(page_id, url, payload, refers_to): who revisits whom.
+    """(page_id, url, payload, refers_to, repeated): who revisits whom, and whether other rows have the id too.
 
     Ids and digests alone are grouped, whatever the number of copies; the
     payloads then meet the decisions by (id, digest), which no copy makes hot.
     """
     payload = full_text(F.col("html"))
     keyed = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload.cast("binary")).alias("digest"))
-    slim = stage(pages.select("page_id", F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).alias("size")).filter(F.col("size") >= min_bytes), "digests")
-    first = slim.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").select("digest", "refers_to")
-    later = slim.join(first, "digest").filter("page_id is null or page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
-    later = later.withColumnsRenamed({"page_id": "_page", "digest": "_digest"})
-    return keyed.join(later, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left").select("page_id", "url", "payload", "refers_to")
+    slim = stage(pages.select("page_id", F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).alias("size")), "digests")
+    first = slim.filter(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").select("digest", "refers_to")
+    later = slim.join(first, "digest").filter("page_id is null or page_id > refers_to").select("page_id", "digest", "refers_to")
+    several = slim.groupBy("page_id").agg(F.count("*").alias("n")).filter("page_id is not null and n > 1").select("page_id")
+    again = slim.join(several, "page_id").select("page_id", "digest")
+    marked = later.unionByName(again, allowMissingColumns=True).groupBy("page_id", "digest").agg(F.max("refers_to").alias("refers_to"), (F.count("*") > F.count("refers_to")).alias("repeated"))
+    marked = marked.withColumnsRenamed({"page_id": "_page", "digest": "_digest"})
+    met = keyed.join(marked, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
+    return met.select("page_id", "url", "payload", "refers_to", F.coalesce("repeated", F.lit(False)).alias("repeated"))
 
 
 def write_bundles(records: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES) -> DataFrame:
@@ -153,12 +158,12 @@ def write_bundles(records: DataFrame, folder: str, frame_bytes: int = FRAME_BYTE
 
         size = 0
         for batch in batches:
-            for page_id, url, payload, refers_to in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for page_id, url, payload, refers_to, repeated in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if file is None:
                     store, inner = open_store(path)
                     store.create_dir(inner.rsplit("/", 1)[0], recursive=True)
                     file = store.open_output_stream(inner, compression=None)  # frames are packed here
-                name, record = make_record(page_id, url, payload.encode(), refers_to)
+                name, record = make_record(page_id, url, payload.encode(), refers_to, f"#{uuid.uuid4()}" if repeated else "")
                 waiting.append((page_id, name, size, len(record)))
                 held.append(record)
                 size += len(record)
@@ -171,7 +176,7 @@ def write_bundles(records: DataFrame, folder: str, frame_bytes: int = FRAME_BYTE
             file.write(seek_table(frames))
             file.close()
 
-    return stage(records.select("page_id", "url", "payload", "refers_to").mapInArrow(write, INDEX_SCHEMA), "warc-index")
+    return stage(records.select("page_id", "url", "payload", "refers_to", "repeated").mapInArrow(write, INDEX_SCHEMA), "warc-index")
 
 
 def read_frames(bundles: DataFrame) -> DataFrame:

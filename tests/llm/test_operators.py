@@ -1,14 +1,17 @@
 """Operators against plain Python on small tables with nulls, empty and long texts, ties and copies."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
 from decimal import Decimal
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, factorisation, mixing, pii, rules, sharding, substrings, warc
+from quarry.llm import decontaminate, factorisation, mixing, pii, rules, sharding, substrings, tokens, warc
 from quarry.llm.text import byte_size, crc, word_count
 from tests.llm.helpers import LOWER, words
 
@@ -48,33 +51,72 @@ def test_pii_base_spans(spark):
         assert got[i] == ",".join(f"{patterns[k][0]}:{a}:{b}" for a, k, b in spans), (i, t)
 
 
-def test_pii_terms_that_reveal(spark):
-    rows = [(i, f"plain words number {chr(97 + i % 20)}{chr(97 + i // 20)}x here") for i in range(300)] + [(1000 + i, f"patient zyx{chr(97 + i)} wrote to me{i}@mail.example.com") for i in range(12)]
-    found = {r["doc_id"]: r for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert found[5]["added"] == [] and found[5]["clean"] is None
-    assert found[1003]["clean"] == " zyxd   [EMAIL]" or "patient" not in found[1003]["clean"]
-    assert "[EMAIL]" in found[1003]["clean"] and "zyxd" in found[1003]["clean"]
-
-
-def test_pii_copies_count_alike(spark):
-    plain = [f"plain words number {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}x here" for i in range(2300)]
-    texts = [x for i in range(20) for x in [f"zyxterm {chr(97 + i)}q wrote to me{i}@mail.example.com"] * 2]
-    docs = spark.createDataFrame(list(enumerate(plain + texts)), "doc_id long, text string")
-    found = {r["term"]: r for r in pii.disclosing_terms(docs, pii.with_entities(docs)).collect()}
-    assert (found["zyxterm"]["joint"], found["zyxterm"]["total"]) == (40, 40) and found["zyxterm"]["disclosure"] > 0.95
-
-
-def test_pii_interval_alone_guards_few_rows(spark):
+def revealing(seed=3):
+    """Texts in which some words come with an e-mail address most of the time, copies among them."""
+    rng = random.Random(seed)
+    rows = [f"plain words number {chr(97 + i % 26)}{chr(97 + i // 26)}x {rng.choice(['ward', 'desk', 'door'])} here" for i in range(500)]
+    for i in range(40):
+        rows.append(f"{'patient' if i % 8 else 'ward'} case {i % 3}k9 zyx{chr(97 + i % 26)} of me{i}@mail.example.com at 10.0.{i}.7" if i % 3 else f"patient of me{i}@mail.example.com")
+    return rows + ["patient without any"] + ["", " - "]
+
+
+def disclosed(texts):
+    """(term, kind) to disclosure, in plain Python over the different texts."""
+    patterns = {0: r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", 1: r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"}
+    held = []
+    for t in set(texts):
+        kinds = {k for k, p in patterns.items() if re.search(p, t)}
+        bare = re.sub(patterns[1], " ", re.sub(patterns[0], " ", t))
+        held.append((kinds, {w.lower() for w in re.findall(r"[^\W_]+", bare) if len(w) > 1}))
+    out, z = {}, pii.Z
+    for k in patterns:
+        rate = sum(k in kinds for kinds, _ in held) / len(held)
+        for term in {w for kinds, ws in held if k in kinds for w in ws}:
+            total = sum(term in ws for _, ws in held)
+            share = sum(term in ws and k in kinds for kinds, ws in held) / total
+            low = (share + z * z / (2 * total) - z * math.sqrt(share * (1 - share) / total + z * z / (4 * total * total))) / (1 + z * z / total)
+            out[(term, k)] = math.log2(low / rate) / -math.log2(rate)
+    return {x: d for x, d in out.items() if d >= pii.GENERALISE}
+
+
+def test_pii_disclosure_matches_brute_force(spark):
+    texts = revealing()
+    want = disclosed(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'x' AS base", "'y' AS k1")
+    got = {(r["term"], r["kind"]): r["disclosure"] for r in pii.disclosing_terms(pii.with_entities(docs)).collect()}
+    assert set(got) == set(want) and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+    assert ("patient", 0) in want and not {t for t, _ in want} & {"com", "mail", "example", "ward"}
+
+
+def test_pii_copies_do_not_change_the_verdict(spark):
+    texts = revealing()
+    some = [t for t in texts if "patient" in t][:1]
+
+    def verdict(rows):
+        docs = spark.createDataFrame([(texts.index(t), t) for t in rows], "doc_id long, text string")
+        return {r["doc_id"]: (r["added"], r["clean"]) for r in pii.sanitise(docs).collect()}
+
+    once, often = verdict(texts), verdict(texts + some * 60)
+    assert once == often
+    where = texts.index(some[0])
+    assert "patient" not in once[where][1] and "[EMAIL]" in once[where][1] and once[where][0]
+    assert once[0] == ([], None)
+    ward = next(i for i, t in enumerate(texts) if "ward case" in t)
+    assert "ward" in once[ward][1]  # a word of other texts too
+
+
+def test_pii_interval_guards_few_texts(spark):
     rows = [(i, f"plain words number {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}x here") for i in range(1000)] + [(2000, "qqterm and aay at 10.0.0.1"), (2001, "qqterm and bby at 10.0.0.2")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {r["term"]: r for r in pii.disclosing_terms(docs, pii.with_entities(docs)).collect()}
+    found = {r["term"]: r for r in pii.disclosing_terms(pii.with_entities(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
     assert found["qqterm"]["joint"] == 2 and "aay" not in found
 
 
-def test_pii_terms_hold_digits(spark):
-    rows = [(i, f"plain words number {i} here") for i in range(1000)] + [(2000 + i, f"case 7f3k9 of {chr(97 + i)}y wrote to me{i}@mail.example.com") for i in range(12)]
-    found = {r["doc_id"]: r["clean"] for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert "7f3k9" not in found[2003] and "[EMAIL]" in found[2003]
+def test_pii_edge_rows(spark):
+    rows = [(None, "call +1 (017) 555-7713"), (1, None), (1, "a@b.co"), (1, "a@b.co"), (2, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, len(r["base"]), r["clean"] or "") for r in pii.sanitise(frame).collect())
+    assert got == [(0, 1, "call [PHONE]"), (1, 0, ""), (1, 1, "[EMAIL]"), (1, 1, "[EMAIL]"), (2, 0, "")]
+    assert pii.sanitise(frame.limit(0)).count() == 0
 
 
 def test_rules_statistics(spark):
@@ -122,21 +164,57 @@ def test_substrings(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_substrings_without_repeats(spark):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(40)), "a", "x") for i in range(3)] + [(7, None, "a", "x"), (8, "one", "a", "x")]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, DOCS))
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in got.collect()) == [(0, 40, 0), (1, 40, 0), (2, 40, 0), (7, 0, 0), (8, 1, 0)]
+
+
+def test_substrings_of_words_that_differ_in_one_place(spark):
+    """Long words that polynomials modulo 2^64 cannot tell apart: Thue-Morse and its complement."""
+    morse = "".join("ab"[bin(k).count("1") % 2] for k in range(1 << 11))
+    other = morse.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{k}" for k in range(12))
+    rows = [(1, f"{morse} {rest}", "a", "x"), (2, f"{other} {rest}", "a", "x"), (3, f"{rest} {morse}", "a", "x")]
+    assert [r["n_removed"] for r in substrings.remove_repeats(spark.createDataFrame(rows, DOCS)).collect()] == [0, 0, 0]
+
+
+def test_word_hashes():
+    rng = random.Random(8)
+    texts = ["", "a", "ab cd", "é 日本 " * 40, "x" * 5000 + " " + "x" * 4999 + "y", *(" ".join("".join(rng.choices("ab\x00", k=rng.randint(1, 30))) for _ in range(200)) for _ in range(3))]
+    data, offsets = tokens.flat_text(pa.array(texts))
+    starts, ends, _ = tokens.word_bounds(data, offsets)
+    for seed in tokens.SEEDS:
+        got = {}
+        for h, a, b in zip(tokens.word_hashes(data, starts, ends, seed).tolist(), starts, ends, strict=True):
+            assert got.setdefault(data[a:b].tobytes(), h) == h
+        assert len(set(got.values())) == len(got) > 300
+
+
 def test_sharding(spark):
     docs = spark.createDataFrame(corpus(5), DOCS).withColumn("bytes", byte_size(F.col("text")) + 1).withColumn("text_crc32", crc(F.col("text")))
-    got = [r.asDict() for r in sharding.assign_shards(docs, 4, size_col="bytes").collect()]
-    assert len(got) == docs.count() and set(got[0]) == {*docs.columns, "shard", "slot"}
+    docs = docs.selectExpr("*", "'mine' AS shard", "'own' AS slot", "'f' AS _file", "1 AS _index", "2 AS row", "3 AS _k0")
+    docs = docs.union(docs.filter("doc_id = 500"))
+    out = [r.asDict(recursive=True) for r in sharding.assign_shards(docs, 4, size_col="bytes").collect()]
+    assert len(out) == docs.count() and all(set(r["row"]) == set(docs.columns) and (r["row"]["shard"], r["row"]["slot"], r["row"]["_file"]) == ("mine", "own", "f") for r in out)
+    got = [r["row"] | {"shard": r["shard"], "slot": r["slot"]} for r in out]
     for s in range(4):
         assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
     order = sorted(got, key=lambda r: (-1 if r["doc_id"] is None else r["doc_id"]))
     assert [r["shard"] for r in order] == sorted(r["shard"] for r in order)
     assert sharding.assign_shards(docs.limit(0), size_col="bytes").count() == 0
+    slim = docs.select("doc_id", "bytes", "text_crc32")
+    assert sorted((r["shard"], r["slot"]) for r in sharding.assign_shards(slim, 4, size_col="bytes").collect()) == sorted((r["shard"], r["slot"]) for r in got)
+    back = spark.read.parquet(sharding.write_shards(sharding.assign_shards(docs, 4, size_col="bytes")))
+    assert sorted((r["shard"], r["slot"]) for r in back.collect()) == sorted((r["shard"], r["slot"]) for r in got)
 
 
 def test_mixing(spark):
     rows = corpus(6, 200)
-    docs = spark.createDataFrame(rows, DOCS).withColumn("tokens", word_count(F.col("text")))
-    got = [r.asDict() for r in mixing.mix(docs, size_col="tokens").collect()]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("tokens", word_count(F.col("text"))).selectExpr("*", "'t' AS target", "9 AS copies", "'g' AS _group")
+    out = [r.asDict(recursive=True) for r in mixing.mix(docs, size_col="tokens").collect()]
+    assert len(out) == docs.count() and all((r["row"]["target"], r["row"]["copies"], r["row"]["_group"]) == ("t", 9, "g") for r in out)
+    got = [r["row"] | {k: r[k] for k in ("source_size", "target", "copies")} for r in out]
     sizes = Counter()
     for r in got:
         sizes[r["source"]] += r["tokens"]
@@ -157,9 +235,10 @@ def test_mixing(spark):
         own = [r for r in got if r["source"] == s]
         assert abs(own[0]["target"] - float(target[s])) < 1e-6 and own[0]["source_size"] == sizes[s]
         assert abs(sum(r["tokens"] * r["copies"] for r in own) - own[0]["target"]) <= longest / 2 + 1 and max(r["copies"] for r in own) <= 2
-    mixed = mixing.mixed_rows(spark.createDataFrame(rows, DOCS))
-    assert mixed.columns == ["doc_id", "text", "source", "size"] and mixed.count() == sum(r["copies"] for r in got)
+    mixed = mixing.mixed_rows(spark.createDataFrame(rows, DOCS).selectExpr("*", "1.5 AS target", "'c' AS copies"))
+    assert mixed.columns == ["doc_id", "text", "source", "size", "target", "copies"] and mixed.filter("copies <> 'c' or target <> 1.5").count() == 0 and mixed.count() == sum(r["copies"] for r in got)
     assert mixing.mixed_rows(spark.createDataFrame([], DOCS)).count() == 0
+    assert mixing.mixed_rows(spark.createDataFrame([(1, None, None, "x"), (2, " ", "a", "x")], DOCS)).count() == 0
 
 
 def test_warc_round_trip(spark):
@@ -176,6 +255,14 @@ def test_warc_round_trip(spark):
     assert warc.archive(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_repeated_ids(spark):
+    rows = [(5, "u", "one"), (5, "u", "two"), (5, "u", "two"), (3, "u", "one"), (8, "u", "two"), (None, "u", "six"), (None, "u", "six")]
+    index = warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert len({r["record_id"] for r in index.collect()}) == len(rows)
+    back = sorted((r["page_id"] or 0, r["record_type"], r["refers_to"] or 0) for r in warc.read_records(index.select("bundle").distinct()).collect())
+    assert back == [(0, "response", 0), (0, "response", 0), (3, "response", 0), (5, "response", 0), (5, "response", 0), (5, "revisit", 3), (8, "revisit", 5)]
+
+
 def test_decontamination(spark):
     rows, bench = corpus(8), [(1, None), (2, "!!"), (3, "Short-item, of 5")]
     rng = random.Random(8)
@@ -214,3 +301,40 @@ def test_factorisation_held_out(spark):
     assert sum((got[i] >= 0.7) == (i % 3 != 0) for i in range(200, 400)) >= 195
     plain = factorisation.fit(*factorisation.training_rows(docs, labels.limit(0)))
     assert factorisation.scored(docs.limit(0), plain).count() == 0
+
+
+def test_factorisation_pairs_match_the_double_loop():
+    rng = np.random.default_rng(3)
+    machine = factorisation.Machine(0.3, rng.standard_normal(12).astype(np.float32), rng.standard_normal((12, 4)).astype(np.float32))
+    for x in rng.standard_normal((5, 12)).astype(np.float32):
+        pairs = sum(float(machine.factors[i] @ machine.factors[j]) * float(x[i]) * float(x[j]) for i in range(12) for j in range(i))
+        assert abs(float(machine.logit(x[None])[0]) - (0.3 + float(x @ machine.linear) + pairs)) < 1e-4
+
+
+def test_factorisation_features():
+    texts = ["", "One two TWO; $$ 12\n\nOne two TWO; $$ 12\n x|y", "é " * 300, "a", " \n\t"]
+    data, offsets = tokens.flat_text(pa.array(["skipped", *texts]).slice(1))
+    got = factorisation.features(data, offsets)
+    lower = lambda w: w.encode().translate(bytes(factorisation.LOWER))
+    for x, t in zip(got, texts, strict=True):
+        w, raw = words(t), t.encode()
+        counts = Counter(int(tokens.word_hashes(np.frombuffer(lower(v), np.uint8), np.array([0]), np.array([len(v.encode())]))[0] % np.uint64(factorisation.BUCKETS)) for v in w)
+        norm = math.sqrt(sum(math.log1p(n) ** 2 for n in counts.values()))
+        assert all(abs(x[b] - (math.log1p(counts[b]) / norm if b in counts else 0)) < 1e-5 for b in range(factorisation.BUCKETS))
+        solid, lines = max(1, len(b"".join(raw.split()))), [v for v in raw.split(b"\n") if v]
+        share = lambda chars: math.sqrt(sum(c in chars.encode() for c in raw) / solid)
+        expected = factorisation.BUCKETS * -math.expm1(-len(w) / factorisation.BUCKETS)
+        want = {"log_words": math.log1p(len(w)) / 5, "log_bytes": math.log1p(len(raw)) / 8, "bytes_per_word": min(solid / max(1, len(w)), 40) / 10, "symbols": share("#*$%&<>"), "upper": share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), "digits": share("0123456789"), "marks": share(".,;:!?"), "bars": share("|"), "distinct": len(counts) / max(expected, 1), "lines_per_word": min(len(lines) / max(1, len(w)), 1), "equal_lines": (len(lines) - len(set(lines))) / max(1, len(lines))}
+        assert all(abs(x[factorisation.BUCKETS + k] - want[name]) < 1e-5 for k, name in enumerate(factorisation.STATISTICS)), t
+
+
+def test_factorisation_training_bound_and_repeated_rows(spark):
+    rows = [(i, f"some words {i}", "a", "x") for i in range(40)] * 2
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(3, 1), (3, 0)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, DOCS)
+    x, y = factorisation.training_rows(docs, labels, bound=10)
+    assert len(x) == len(y) == 10
+    scores = {}
+    for r in factorisation.scored(docs, factorisation.fit(x, y)).collect():
+        scores.setdefault(r["doc_id"], set()).add(r["score"])
+    assert all(len(v) == 1 for v in scores.values())
