@@ -1,8 +1,16 @@
 """Documents to training shards, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a frame; ``run`` writes it as
-Parquet in the shared folder and hands the reread table to the next stage. All
-stages but the last return the columns of ``documents``.
+Parquet in the shared folder, deletes what the stage itself has read and staged,
+and hands the reread table to the next. All stages but the last return the columns of
+``documents``, whatever other columns there are and whatever their names.
+
+Defined cases, of every stage: null text counts as empty; an empty table gives
+an empty one. Null ids and repeated rows: ``quality_rules`` judges row by row
+(empty texts fail the base rule, so they go); ``near_duplicates`` keeps one row
+of those that repeat an id and every row without one; ``decontaminate`` and
+``mix_sources`` treat rows of one id and text alike; ``shard`` gives each row a
+place of its own, null ids first.
 """
 
 from __future__ import annotations
@@ -12,13 +20,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.decontaminate import contamination
+from quarry.llm.decontaminate import uncontaminated
 from quarry.llm.mixing import mixed_rows
 from quarry.llm.rules import rule_filter
 from quarry.llm.sharding import assign_shards
 from quarry.llm.simhash import keep_one
-from quarry.llm.text import byte_size, crc, full_text
-from quarry.plans.staging import stage
+from quarry.llm.text import byte_size, crc
+from quarry.plans.staging import discard_since, mark, stage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,10 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of ten words of any benchmark item."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = found.filter("n_hit > 0").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).distinct()
-    hit = stage(hit, "contaminated")
-    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("_doc")) & (F.xxhash64(full_text(docs["text"])) == F.col("_key")), "left_anti")
+    return uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +50,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row with its size, shard and place in the shard."""
-    sized = docs.withColumn("size", byte_size(F.col("text")) + 1).withColumn("text_crc32", crc(F.col("text")))
-    return assign_shards(sized)
+    """Every row with ``size``, ``text_crc32``, ``shard`` and ``slot``; the table's own columns of these names get ``_`` in front."""
+    new = ("size", "text_crc32", "shard", "slot")
+    own = [F.col(f"`{c}`").alias("_" * (c in new) + c) for c in docs.columns]
+    sized = docs.select(*own, (byte_size(F.col("text")) + 1).alias("size"), crc(F.col("text")).alias("text_crc32"))
+    return assign_shards(sized).select("row.*", "shard", "slot")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -58,13 +65,15 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("shard", shard),
 ]
 
-#: The first stage learns its rules, which SQL cannot express; the tests hold each operator against plain Python.
+#: The first stage learns its rules, which SQL cannot express; ``tests/llm/test_pipeline.py`` holds the whole against plain Python.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, function in STAGES[:-1]:
+    point = mark()
+    for name, function in STAGES:
         docs = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        discard_since(point, docs)
+    return docs
