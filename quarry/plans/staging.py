@@ -17,15 +17,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _STAGED: list[tuple[SparkSession, str]] = []
-_TABLES: list[tuple[SparkSession, str]] = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the session names; a temporary one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("spark.quarry.local.checkpoint.dir", None)
+    """The shared folder the session names. Only a local session, where there is one machine, may do without."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.quarry.local.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), f"quarry-{uuid.uuid4().hex}")
         spark.conf.set("spark.quarry.local.checkpoint.dir", found)
     return found.rstrip("/")
@@ -48,19 +47,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return _at(spark.read.schema(df.schema).parquet(path), path)
 
 
-def stage_bucketed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Like ``stage``, in one bucket for each shuffle partition by ``keys``.
-
-    Aggregates and joins on these keys then read the table without a shuffle.
-    """
-    spark = df.sparkSession
-    path, table = new_path(spark, name), f"quarry_{uuid.uuid4().hex}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(n, *keys).format("parquet").option("path", path).saveAsTable(table)
-    _TABLES.append((spark, table))
-    return _at(spark.table(table), path)
-
-
 def _at(df: DataFrame, path: str) -> DataFrame:
     df._quarry_path = path
     return df
@@ -74,6 +60,20 @@ def discard(*frames: DataFrame) -> None:
         _STAGED[:] = [x for x in _STAGED if x[1] != path]
 
 
+def mark() -> int:
+    """A point in time for ``discard_since``."""
+    return len(_STAGED)
+
+
+def discard_since(point: int, *kept: DataFrame) -> None:
+    """Delete all that was staged after ``point`` but the given tables."""
+    paths = {df._quarry_path for df in kept}
+    for spark, path in _STAGED[point:]:
+        if path not in paths:
+            drop_path(spark, path)
+    _STAGED[point:] = [x for x in _STAGED[point:] if x[1] in paths]
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -82,10 +82,6 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 def release() -> None:
     """Delete every table staged so far; results that read them end with this."""
-    while _TABLES:
-        spark, table = _TABLES.pop()
-        with contextlib.suppress(Exception):  # the session may have ended
-            spark.sql(f"DROP TABLE IF EXISTS {table}")
     while _STAGED:
         spark, path = _STAGED.pop()
         with contextlib.suppress(Exception):  # the session may have ended
