@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.operators import mining
+from quarry.plans.staging import new_path
+from quarry.sources import sinks
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,3 +37,16 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stats.select((F.col("items")[0] % 5).alias("job_id"), "items", "size", F.round("expected_utility", 4).alias("expected_utility"), F.round("probability", 6).alias("probability"), "support")
     order = Window.partitionBy("job_id").orderBy(F.desc("expected_utility"), F.desc("probability"), "size", "items")
     return rows.withColumn("rank", F.row_number().over(order))
+
+
+_STORES: dict[tuple[str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``results`` as a job leaves them: written once for each session and table, and read back."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        path = new_path(spark, "results")
+        sinks.store_results(results(spark, sf_dir), path)
+        _STORES[key] = path
+    return sinks.stored_results(spark, _STORES[key]).select("job_id", "items", "size", "expected_utility", "probability", "support", "rank")

@@ -30,6 +30,17 @@ def upper_bound(rem: str = "rem") -> Column:
     return F.sum(F.greatest(F.lit(0.0), F.col("u") + F.col(rem)) * F.exp("lp"))
 
 
+def growth_bound() -> Column:
+    """No itemset that adds later items can exceed this; tighter than ``upper_bound``.
+
+    Added items Y multiply every probability by theirs: what is there keeps at
+    most its share by the likeliest of them, and each of them gains at most its
+    own utility times its own probability.
+    """
+    later = F.greatest(F.lit(0.0), F.col("u")) * F.col("p_max") + F.col("rem_p")
+    return F.sum(F.least(F.greatest(F.lit(0.0), F.col("u") + F.col("rem")), later) * F.exp("lp"))
+
+
 def items_key(items: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(items), lambda x: x.cast("string")), ",")
 

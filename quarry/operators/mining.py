@@ -1,11 +1,11 @@
 """Top-k itemsets by expected utility.
 
 ``exact`` enumerates each itemset once, items in ascending rank, and prunes by
-``sum(greatest(0, u + rem) * P)``, which no superset in the subtree exceeds.
+``growth_bound``, which no superset in the subtree exceeds.
 ``path`` also asks that every single item and every prefix of the discovery
 path reaches the minimum probability. Each level is one join on the
-transaction id and one partial aggregation by itemset; the threshold and the
-number of surviving itemsets are the only values the driver holds.
+transaction id and one partial aggregation by itemset; the best ``k`` so far and
+two counts a level are all that the driver holds.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.columns import EPSILON, LOG_FLOOR, at_least, existential_probability, expected_utility, upper_bound
+from quarry.functions.columns import EPSILON, LOG_FLOOR, at_least, existential_probability, expected_utility, growth_bound, upper_bound
 from quarry.operators import prepare
 from quarry.plans.staging import stage
 
@@ -38,6 +38,11 @@ class Mined:
     topk: DataFrame
     levels: list[Level] = field(default_factory=list)
 
+    def statistics(self) -> DataFrame:
+        """A row for each level: itemsets evaluated and kept, the threshold after it, the share pruned."""
+        rows = [(x.size, x.itemsets, x.kept, float(x.threshold), 1 - x.kept / x.itemsets if x.itemsets else 0.0) for x in self.levels]
+        return self.topk.sparkSession.createDataFrame(rows, "size int, evaluated long, kept long, threshold double, pruned_share double")
+
 
 def level_one(tx: DataFrame, profit: DataFrame) -> DataFrame:
     e = prepare.item_utility(tx, profit)
@@ -61,39 +66,64 @@ def roots(singles: DataFrame) -> DataFrame:
     return singles.select("tid", F.array("item").alias("path"), F.col("rank").alias("root_rank"), F.col("rem").alias("root_rem"), "rank", "path_rank", "u", "rem", "lp")
 
 
+TOP_SCHEMA = "items array<int>, size int, expected_utility double, probability double, support long"
+
+
+LATER = ("rem", "rem_p", "p_max")
+
+
+def _grown(base: DataFrame, singles: DataFrame, ahead, path: bool) -> DataFrame:
+    """Rows of ``base`` with one more item of the same transaction, keyed by (node, item).
+
+    What may still come is what comes after the new item, for ``path`` after the first one.
+    """
+    names = ("rank", "path_rank", "rtwu", "u", "lp", *LATER)
+    x = singles.select("tid", "item", *[F.col(c).alias(f"x_{c}") for c in names])
+    met = base.join(x, "tid").filter(ahead & (F.col("lp") + F.col("x_lp") > LOG_FLOOR))
+    return met.select("tid", "node", "item", "root_rank", F.col("x_rank").alias("rank"), F.col("x_path_rank").alias("path_rank"), *[F.col(c if path else f"x_{c}").alias(c) for c in LATER], (F.col("u") + F.col("x_u")).alias("u"), (F.col("lp") + F.col("x_lp")).alias("lp"))
+
+
 def mine(tx: DataFrame, profit: DataFrame, k: int, min_prob: float, semantics: str = "exact", max_size: int | None = None) -> Mined:
-    """The top ``k`` with at least ``min_prob``, and a record of each level."""
+    """The top ``k`` with at least ``min_prob``, and a record of each level.
+
+    An itemset is a number while it is searched: rows carry that of their prefix
+    and the last item, and only the table of itemsets knows the items. A level is
+    two jobs that write (itemsets; rows of those that go on) and two that read
+    what was written (the best ``k`` rows, two counts), which the driver merges.
+    """
     if k < 1 or not 0 <= min_prob <= 1 or semantics not in ("exact", "path"):
         raise ValueError("k must be positive, min_prob within 0 and 1, semantics exact or path")
-    path = semantics == "path"
+    path, spark = semantics == "path", tx.sparkSession
     singles = stage(level_one(tx, profit), "elements")
-    rows = roots(singles)
-    rem = "root_rem" if path else "rem"
-    top, threshold, size, levels = None, 0.0, 1, []
+    rows = singles.select("tid", F.lit(0).cast("long").alias("node"), "item", F.col("rank").alias("root_rank"), "rank", "path_rank", *LATER, "u", "lp")
+    top: list = []
+    kept, size, levels = None, 1, []
     while True:
-        stats = stage(statistics(rows, rem), "itemsets")
-        found = stats.filter((F.col("expected_utility") >= 0) & at_least(F.col("probability"), min_prob)).select("items", "size", "expected_utility", "probability", "support")
-        merged = (found if top is None else top.unionByName(found)).orderBy(*answer_order()).limit(k)
-        top = stage(merged, "top")
-        seen = top.agg(F.count("*"), F.min("expected_utility")).first()
-        threshold = seen[1] if seen[0] == k else 0.0
+        sums = rows.groupBy("node", "item").agg(expected_utility().alias("expected_utility"), existential_probability().alias("probability"), F.count("*").alias("support"), growth_bound().alias("bound"))
+        named = sums.withColumn("path", F.array("item")) if kept is None else sums.join(kept.select(F.col("id").alias("node"), F.col("path").alias("_path")), "node").withColumn("path", F.array_append("_path", F.col("item"))).drop("_path")
+        stats = stage(named.withColumn("id", F.monotonically_increasing_id()), "itemsets")
+        fit = stats.filter((F.col("expected_utility") >= 0) & at_least(F.col("probability"), min_prob)).select(F.array_sort("path").alias("items"), F.size("path").alias("size"), "expected_utility", "probability", "support")
+        top = sorted(top + [tuple(r) for r in fit.orderBy(*answer_order()).limit(k).collect()], key=lambda r: (-r[2], -r[3], r[1], r[0]))[:k]
+        threshold = top[-1][2] if len(top) == k else 0.0
         good = at_least(F.col("bound"), threshold)
         if path:
             good = good & at_least(F.col("probability"), min_prob)
-        kept = stage(stats.filter(good).select("path"), "kept")
-        count, total = kept.count(), stats.count()
+        total, count = stats.agg(F.count("*"), F.count_if(good)).first()
         levels.append(Level(size, total, count, threshold))
         if not count or size == max_size:
-            return Mined(top, levels)
-        if path and size == 1:
-            singles = stage(singles.join(kept.select(F.col("path")[0].alias("item")), "item", "left_semi"), "elements")
+            return Mined(spark.createDataFrame(top, TOP_SCHEMA), levels)
+        kept = stats.filter(good)
+        base = rows.join(kept.select("node", "item", "id"), ["node", "item"]).drop("node", "item").withColumnRenamed("id", "node")
+        if size > 1:
+            base = stage(base, "elements")
+        elif path:
+            singles = singles.join(kept.select("item"), "item", "left_semi")
         ahead = F.col("x_rank") > F.col("rank")
         if path:
             ahead = F.col("x_rank") > F.col("root_rank")
             if size > 1:
-                ahead = ahead & (F.col("x_path") > F.col("path_rank"))
-        ahead = ahead & (F.col("x_rtwu") >= threshold - EPSILON)
-        rows = stage(extend(rows.join(kept, "path", "left_semi"), singles, ahead), "elements")
+                ahead = ahead & (F.col("x_path_rank") > F.col("path_rank"))
+        rows = _grown(base, singles, ahead & (F.col("x_rtwu") >= threshold - EPSILON), path)
         size += 1
 
 

@@ -43,7 +43,8 @@ def ranked_items(weights: DataFrame) -> DataFrame:
 
 
 def elements(e: DataFrame, ranks: DataFrame) -> DataFrame:
-    """Level 1: tid, item, rank, path_rank, rtwu, u, rem, lp."""
+    """Level 1: tid, item, rank, path_rank, rtwu, u, rem, lp; and of the later items what their
+    probabilities leave of ``rem`` (rem_p) and the largest of these (p_max)."""
     known = e.filter((F.col("p") > 0) & (F.ln("p") > LOG_FLOOR)).join(ranks, "item")
     later = Window.partitionBy("tid").orderBy("rank").rowsBetween(1, Window.unboundedFollowing)
-    return known.select("tid", "item", "rank", "path_rank", "rtwu", "u", F.coalesce(F.sum(gain()).over(later), F.lit(0.0)).alias("rem"), F.ln("p").alias("lp"))
+    return known.select("tid", "item", "rank", "path_rank", "rtwu", "u", F.coalesce(F.sum(gain()).over(later), F.lit(0.0)).alias("rem"), F.ln("p").alias("lp"), F.coalesce(F.sum(gain() * F.col("p")).over(later), F.lit(0.0)).alias("rem_p"), F.coalesce(F.max("p").over(later), F.lit(0.0)).alias("p_max"))

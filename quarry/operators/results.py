@@ -3,10 +3,13 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.columns import items_key
+from quarry.functions.columns import items_json, items_key
 
 
 def by_job(results: DataFrame, job_id: int) -> DataFrame:
@@ -33,9 +36,15 @@ def containing(results: DataFrame, job_id: int, item: int) -> DataFrame:
     return by_job(results, job_id).filter(F.array_contains("items", item)).orderBy("rank")
 
 
+def containing_text(results: DataFrame, job_id: int, item: str) -> DataFrame:
+    """Itemsets whose JSON holds the text anywhere, so that 1 also finds 12."""
+    return by_job(results, job_id).filter(F.contains(items_json(F.col("items")), F.lit(item))).orderBy("rank")
+
+
 def search(results: DataFrame, job_id: int, pattern: str) -> DataFrame:
-    """Items whose comma list contains the pattern as text."""
-    return by_job(results, job_id).filter(F.contains(items_key(F.col("items")), F.lit(pattern))).orderBy("rank")
+    """Itemsets whose items or whose utility (four places) contain the pattern as text."""
+    text = lambda c: F.contains(c, F.lit(pattern))
+    return by_job(results, job_id).filter(text(items_key(F.col("items"))) | text(F.format_string("%.4f", "expected_utility"))).orderBy("rank")
 
 
 def search_utility_probability(results: DataFrame, min_utility: float, min_probability: float, page: int, size: int) -> DataFrame:
@@ -47,6 +56,11 @@ def page_of(results: DataFrame, job_id: int, page: int, size: int) -> DataFrame:
     return by_rank(results, job_id).offset(page * size).limit(size)
 
 
+def page_totals(results: DataFrame, job_id: int, size: int) -> DataFrame:
+    """total_elements and total_pages of a job's results."""
+    return by_job(results, job_id).agg(F.count("*").alias("total_elements"), F.ceil(F.count("*") / size).cast("int").alias("total_pages"))
+
+
 def job_topk(results: DataFrame, job_id: int, k: int) -> DataFrame:
     return by_utility(results, job_id).limit(k)
 
@@ -119,7 +133,19 @@ def per_job_statistics(results: DataFrame) -> DataFrame:
     return results.groupBy("job_id").agg(F.count("*").alias("n"), F.max("expected_utility").alias("max_utility"), F.min("expected_utility").alias("min_utility"), F.max("probability").alias("max_probability"), F.min("probability").alias("min_probability"), F.max("size").alias("max_size"))
 
 
+def new_job_id() -> str:
+    """``job_``, the milliseconds of now and eight random digits."""
+    return f"job_{time.time_ns() // 1_000_000}_{uuid.uuid4().hex[:8]}"
+
+
+def pruning_rates(levels: DataFrame) -> DataFrame:
+    """Of all levels together: itemsets evaluated, going on and given up, and the shares of both."""
+    sums = levels.agg(F.sum("evaluated").alias("evaluated"), F.sum("kept").alias("kept"))
+    share = lambda c: F.round(F.when(F.col("evaluated") > 0, c / F.col("evaluated")).otherwise(0.0), 6)
+    return sums.select("evaluated", "kept", (F.col("evaluated") - F.col("kept")).alias("pruned"), share(F.col("kept")).alias("kept_share"), share(F.col("evaluated") - F.col("kept")).alias("pruned_share"))
+
+
 def cancelled(jobs: DataFrame, job_id: int) -> DataFrame:
     """The job, if still open, as failed; the running work is stopped by its Spark job tag."""
     open_ = (F.col("job_id") == job_id) & F.col("status").isin("PENDING", "RUNNING")
-    return jobs.withColumn("status", F.when(open_, "FAILED").otherwise(F.col("status"))).withColumn("error_message", F.when(open_, "Job cancelled by user"))
+    return jobs.withColumns({"status": F.when(open_, "FAILED").otherwise(F.col("status")), "error_message": F.when(open_, "Job cancelled by user")})

@@ -92,14 +92,19 @@ def _stats(df: DataFrame) -> DataFrame:
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     """The baskets written in the text format and numbered again on reading."""
-    tx = baskets.transactions(spark, d)
-    entry = F.concat_ws(":", F.col("item").cast("string"), F.col("quantity").cast("string"), F.format_string("%.2f", "probability"))
-    lines = tx.groupBy("tid").agg(F.array_join(F.array_sort(F.collect_list(F.struct("item", entry.alias("t"))))["t"], " ").alias("line"))
     path = new_path(spark, "text")
-    lines.orderBy("tid").select("line").write.text(path)
+    generator.transaction_lines(baskets.transactions(spark, d)).orderBy("tid").select("line").write.text(path)
     return loader.numbered_lines(spark, path)
 
 
+def _files(spark: SparkSession, d: str) -> str:
+    """A folder of real files: the baskets below ``database``, the profits below ``profit``."""
+    path, tx = new_path(spark, "files"), baskets.transactions(spark, d)
+    generator.transaction_lines(tx).orderBy("tid").select("line").coalesce(1).write.text(f"{path}/database")
+    baskets.profits(tx).orderBy("item").select(F.concat_ws(" ", "item", F.format_string("%.1f", "profit"))).coalesce(1).write.text(f"{path}/profit")
+    return path
+
+
 NUMBERED = f"WITH {BASKETS}, o AS (SELECT tid, row_number() OVER (ORDER BY tid) AS line FROM (SELECT DISTINCT tid FROM b) x)"
 register("scan_transactions", lambda s, d: _lines(s, d).select("tid", F.size(F.split("line", " ")).alias("entries")), f"{NUMBERED} SELECT line AS tid, CAST(count(*) AS INT) AS entries FROM b JOIN o USING (tid) GROUP BY line")
 register("parse_transactions", lambda s, d: loader.parse_transactions(_lines(s, d)), f"{NUMBERED} SELECT line AS tid, item, quantity, round(probability, 2) AS probability FROM b JOIN o USING (tid)")
@@ -115,7 +120,11 @@ def _scan_profits(spark, d):
 register("profit_validation", lambda s, d: loader.profit_validation(_pair(s, d)[1]), f"WITH {BASKETS} SELECT count(*) AS n_items, count(*) FILTER (profit < 0) AS n_negative FROM pr")
 register("database_stats", lambda s, d: loader.database_stats(_pair(s, d)[0]), f"WITH {BASKETS}, c AS (SELECT tid, count(*) AS n FROM b GROUP BY tid) SELECT count(*) AS n_transactions, CAST(sum(n) AS BIGINT) AS n_entries, min(n) AS min_size, max(n) AS max_size, round(avg(n), 6) AS avg_size FROM c")
 register("dataset_metadata", lambda s, d: loader.dataset_metadata(_pair(s, d)[0]), f"WITH {BASKETS} SELECT count(DISTINCT tid) AS transaction_count, count(DISTINCT item) AS item_count FROM b")
-register("md5_checksum", lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", F.md5(F.col("p_brand").cast("binary")).alias("checksum")), "SELECT p_partkey, md5(p_brand) AS checksum FROM part")
+FILES = f"""WITH {BASKETS}, lines AS (SELECT tid, string_agg(concat(item, ':', quantity, ':', printf('%.2f', probability)), ' ' ORDER BY item) AS line FROM b GROUP BY tid),
+f AS (SELECT 'database' AS file_type, string_agg(line || chr(10), '' ORDER BY tid) AS body FROM lines
+      UNION ALL SELECT 'profit', string_agg(concat(item, ' ', printf('%.1f', profit), chr(10)), '' ORDER BY item) FROM pr)"""
+register("md5_checksum", lambda s, d: loader.list_files(s, _files(s, d)).select("file_type", "file_size", "checksum"), f"{FILES} SELECT file_type, CAST(strlen(body) AS BIGINT) AS file_size, md5(body) AS checksum FROM f")
+register("files_by_type", lambda s, d: loader.list_files(s, _files(s, d), "database").select("file_type", "file_size"), f"{FILES} SELECT file_type, CAST(strlen(body) AS BIGINT) AS file_size FROM f WHERE file_type = 'database'")
 register("zipf_cdf", lambda s, d: generator.zipf_cdf(s, 100).select("item", F.round("cdf", 9).alias("cdf")), "WITH m AS (SELECT CAST(range AS INT) AS item, 1 / pow(range, 1.5) AS w FROM range(1, 101)) SELECT item, round(sum(w) OVER (ORDER BY item) / sum(w) OVER (), 9) AS cdf FROM m")
 
 
@@ -135,7 +144,14 @@ register("rtwu", lambda s, d: prepare.rtwu(_e(s, d)), f"WITH {BASKETS} SELECT it
 register("ranked_items", lambda s, d: _ranks(s, d), f"WITH {BASKETS} SELECT item, CAST(rtwu AS DOUBLE) AS rtwu, CAST(rnk AS INT) AS rank, CAST(prk AS INT) AS path_rank FROM k")
 register("remaining_utility", lambda s, d: mining.level_one(*_pair(s, d)).select("tid", "item", "rem"), f"WITH {BASKETS} SELECT tid, item, CAST(rem AS DOUBLE) AS rem FROM l1")
 register("utility_lists", lambda s, d: mining.level_one(*_pair(s, d)).select("item", "tid", "u", "rem", F.round("lp", 9).alias("lp")), f"WITH {BASKETS} SELECT item, tid, u, CAST(rem AS DOUBLE) AS rem, round(lp, 9) AS lp FROM l1")
-register("candidate_pairs", lambda s, d: (lambda k: k.alias("a").join(k.alias("b"), F.col("a.rank") < F.col("b.rank")).select(F.col("a.item").alias("item_a"), F.col("b.item").alias("item_b")))(_ranks(s, d).select("item", "rank")), f"WITH {BASKETS} SELECT a.item AS item_a, c.item AS item_b FROM k a JOIN k c ON a.rnk < c.rnk")
+register("candidate_pairs", lambda s, d: _candidates(mining.level_one(*_pair(s, d)).select("tid", "item", "rank")), f"WITH {BASKETS} SELECT DISTINCT a.item AS item_a, c.item AS item_b FROM l1 a JOIN l1 c ON a.tid = c.tid AND a.rnk < c.rnk")
+
+
+def _candidates(singles: DataFrame) -> DataFrame:
+    """Pairs of items that some transaction holds, the lower rank first; other pairs have no support."""
+    later = singles.select("tid", F.col("item").alias("item_b"), F.col("rank").alias("rank_b"))
+    return singles.join(later, "tid").filter("rank < rank_b").select(F.col("item").alias("item_a"), "item_b").distinct()
+
 
 # --- statistics, joins and pruning -------------------------------------------------------------------------------
 
@@ -197,9 +213,12 @@ register("topk_threshold", lambda s, d: _top(s, d).agg(F.round(F.when(F.count("*
 @query("mining_statistics")
 def _mining_statistics(spark, d):
     """One row for each level of the search: itemsets evaluated and kept, threshold, share pruned."""
-    levels = mining.mine(*_pair(spark, d), K, MIN_PROB).levels
-    rows = [(x.size, x.itemsets, x.kept, float(x.threshold), 1 - x.kept / x.itemsets if x.itemsets else 0.0) for x in levels]
-    return spark.createDataFrame(rows, "size int, evaluated long, kept long, threshold double, pruned_share double")
+    return mining.mine(*_pair(spark, d), K, MIN_PROB).statistics()
+
+
+@query("pruning_rates")
+def _pruning_rates(spark, d):
+    return results.pruning_rates(_mining_statistics(spark, d))
 
 
 # --- exports -----------------------------------------------------------------------------------------------------
@@ -208,6 +227,17 @@ BRACES = "'{' || array_to_string(items, ', ') || '}'"
 register("export_csv", lambda s, d: sinks.csv_rows(_top(s, d)), f"{TOP} CAST(rank AS INT) AS Rank, {BRACES} AS Itemset, printf('%.6f', eu) AS Utility, printf('%.6f', ep) AS Probability, n AS Support FROM top")
 register("export_text", lambda s, d: sinks.text_lines(_top(s, d)), f"{TOP} CAST(rank AS INT) AS rank, printf('%d. ', rank) || {BRACES} || printf(' EU=%.4f P=%.4f S=%d', eu, ep, n) AS line FROM top")
 register("export_json", lambda s, d: sinks.json_rows(_top(s, d)).select("rank", F.get_json_object("value", "$.items").alias("items"), F.get_json_object("value", "$.support").cast("long").alias("support")), f"{TOP} CAST(rank AS INT) AS rank, '[' || array_to_string(items, ',') || ']' AS items, n AS support FROM top")
+register("console_table", lambda s, d: sinks.console_lines(_top(s, d)), f"{TOP} CAST(rank AS INT) AS rank, printf('| %4d | %-30s | %14.4f | %9.6f | %7d |', rank, CASE WHEN length({BRACES}) > 30 THEN ({BRACES})[1 : 27] || '...' ELSE {BRACES} END, eu, ep, n) AS line FROM top")
+
+
+@query("export_json_document", f"{TOP} CAST(count(*) AS INT) AS n, array_to_string(list(items ORDER BY rank)[1], ',') AS first_items, '2024-01-02T03:04:05' AS timestamp, true AS has_statistics FROM top")
+def _json_document(spark, d):
+    mined = mining.mine(*_pair(spark, d), K, MIN_PROB)
+    x = sinks.json_document(mined.topk, [vars(x) for x in mined.levels], F.to_timestamp(F.lit("2024-01-02 03:04:05"))).select("value")
+    of = lambda path: F.get_json_object("value", path)
+    return x.select(F.json_array_length(of("$.topKItemsets")).alias("n"), F.btrim(of("$.topKItemsets[0].items"), F.lit("[]")).alias("first_items"), of("$.timestamp").alias("timestamp"), (of("$.statistics[0].itemsets").cast("long") > 0).alias("has_statistics"))
+
+
 register("format_itemset", lambda s, d: _level(s, d, 3).select(columns.items_key(F.col("items")).alias("items"), columns.truncated(braces := columns.braces(F.col("items")), 10).alias("shown"), F.length(braces).alias("length")), f"""WITH {BASKETS}, t AS (SELECT DISTINCT list_sort([a.item, c.item, f.item]) AS items FROM l1 a JOIN l1 c ON a.tid = c.tid AND c.rnk > a.rnk JOIN l1 f ON f.tid = a.tid AND f.rnk > c.rnk),
 f AS (SELECT items, {BRACES} AS x FROM t) SELECT array_to_string(items, ',') AS items, CASE WHEN length(x) > 10 THEN x[1 : 7] || '...' ELSE x END AS shown, CAST(length(x) AS INT) AS length FROM f""")
 register("items_json", lambda s, d: _level(s, d, 2).select(columns.items_json(F.col("items")).alias("items_json")), f"WITH {BASKETS}, {PAIRS} SELECT concat('[', item_a, ',', item_b, ']') AS items_json FROM p2")
@@ -218,7 +248,7 @@ register("result_entities", lambda s, d: sinks.result_entities(_top(s, d), F.lit
 
 def _results(function, *more) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark, d):
-        out = function(baskets.results(spark, d), *more)
+        out = function(baskets.stored(spark, d), *more)
         return out.withColumn("items", columns.items_key(F.col("items"))) if "items" in out.columns else out
 
     return run
@@ -234,20 +264,23 @@ on_results("itemsets_by_utility", results.by_utility, (JOB,), OF_JOB)
 on_results("high_utility", results.high_utility, (JOB, 1000.0), f"{OF_JOB} AND expected_utility >= 1000")
 on_results("itemsets_by_size", results.by_size, (JOB, 2), f"{OF_JOB} AND size = 2")
 on_results("itemsets_containing", results.containing, (JOB, 12), f"{OF_JOB} AND list_contains(list, 12)")
-on_results("search_itemsets", results.search, (JOB, "1"), f"{OF_JOB} AND items LIKE '%1%'")
+on_results("itemsets_containing_text", results.containing_text, (JOB, "2"), f"{OF_JOB} AND items LIKE '%2%'")
+on_results("search_itemsets", results.search, (JOB, "17"), f"{OF_JOB} AND (items LIKE '%17%' OR printf('%.4f', expected_utility) LIKE '%17%')")
+on_results("page_totals", results.page_totals, (JOB, 10), f"SELECT count(*) AS total_elements, CAST(ceil(count(*) / 10) AS INT) AS total_pages FROM res WHERE job_id = {JOB}")
 on_results("search_utility_probability", results.search_utility_probability, (500.0, 0.9, 1, 15), f"SELECT {RES_COLUMNS} FROM res WHERE expected_utility >= 500 AND probability >= 0.9 ORDER BY expected_utility DESC, probability DESC, job_id, rank LIMIT 15 OFFSET 15")
 on_results("itemsets_page", results.page_of, (JOB, 2, 10), f"{OF_JOB} ORDER BY rank LIMIT 10 OFFSET 20")
 on_results("job_topk", results.job_topk, (JOB, 10), f"{OF_JOB} ORDER BY expected_utility DESC, rank LIMIT 10")
 on_results("global_topk", results.global_topk, (25,), f"SELECT {RES_COLUMNS} FROM res ORDER BY expected_utility DESC, probability DESC, job_id, rank LIMIT 25")
 for _name, _column, _digits in (("utility_statistics", "expected_utility", 3), ("probability_statistics", "probability", 6)):
     on_results(_name, results.value_statistics, (_column, _digits), f"SELECT job_id, min({_column}) AS min_value, max({_column}) AS max_value, round(avg({_column}), {_digits}) AS avg_value FROM res GROUP BY job_id")
+register("export_job", lambda s, d: sinks.csv_rows(results.by_job(baskets.stored(s, d), JOB)), f"WITH {RESULTS} SELECT CAST(rank AS INT) AS Rank, '{{' || array_to_string(list, ', ') || '}}' AS Itemset, printf('%.6f', expected_utility) AS Utility, printf('%.6f', probability) AS Probability, support AS Support FROM res WHERE job_id = {JOB}")
 on_results("size_distribution", results.size_distribution, (), "SELECT job_id, size, count(*) AS n FROM res GROUP BY job_id, size")
 on_results("count_by_job", results.counts, (), "SELECT job_id, count(*) AS n FROM res GROUP BY job_id")
 on_results("count_high_utility", results.counts, (1000.0,), "SELECT job_id, count(*) AS n FROM res WHERE expected_utility >= 1000 GROUP BY job_id")
 on_results("per_job_statistics", results.per_job_statistics, (), "SELECT job_id, count(*) AS n, max(expected_utility) AS max_utility, min(expected_utility) AS min_utility, max(probability) AS max_probability, min(probability) AS min_probability, max(size) AS max_size FROM res GROUP BY job_id")
-register("delete_job", lambda s, d: results.without_job(baskets.results(s, d), s.range(JOB, JOB + 1).select(F.col("id").cast("int").alias("job_id"))).withColumn("items", columns.items_key(F.col("items"))), f"WITH {RESULTS} SELECT {RES_COLUMNS} FROM res WHERE job_id <> {JOB}")
-register("itemsets_with_job", lambda s, d: results.with_job(baskets.results(s, d), baskets.jobs(s, d)).select("job_id", columns.items_key(F.col("items")).alias("items"), "rank", "status", "k"), f"WITH {RESULTS}, {JOBS} SELECT job_id, items, rank, status, k FROM res JOIN j USING (job_id)")
-register("entity_formatting", lambda s, d: baskets.results(s, d).select("job_id", "rank", columns.braces(F.col("items")).alias("itemset"), F.format_string("%.4f", "expected_utility").alias("utility"), F.round(F.col("probability") * 100, 4).alias("percentage"), (F.col("expected_utility") >= 1000).alias("is_high")), f"WITH {RESULTS} SELECT job_id, rank, '{{' || array_to_string(list, ', ') || '}}' AS itemset, printf('%.4f', expected_utility) AS utility, round(probability * 100, 4) AS percentage, expected_utility >= 1000 AS is_high FROM res")
+register("delete_job", lambda s, d: results.without_job(baskets.stored(s, d), s.range(JOB, JOB + 1).select(F.col("id").cast("int").alias("job_id"))).withColumn("items", columns.items_key(F.col("items"))), f"WITH {RESULTS} SELECT {RES_COLUMNS} FROM res WHERE job_id <> {JOB}")
+register("itemsets_with_job", lambda s, d: results.with_job(baskets.stored(s, d), baskets.jobs(s, d)).select("job_id", columns.items_key(F.col("items")).alias("items"), "rank", "status", "k"), f"WITH {RESULTS}, {JOBS} SELECT job_id, items, rank, status, k FROM res JOIN j USING (job_id)")
+register("entity_formatting", lambda s, d: baskets.stored(s, d).select("job_id", "rank", columns.braces(F.col("items")).alias("itemset"), F.format_string("%.4f", "expected_utility").alias("utility"), F.round(F.col("probability") * 100, 4).alias("percentage"), (F.col("expected_utility") >= 1000).alias("is_high")), f"WITH {RESULTS} SELECT job_id, rank, '{{' || array_to_string(list, ', ') || '}}' AS itemset, printf('%.4f', expected_utility) AS utility, round(probability * 100, 4) AS percentage, expected_utility >= 1000 AS is_high FROM res")
 
 
 def on_jobs(name: str, function, more: tuple, sql: str) -> None:
@@ -265,7 +298,7 @@ on_jobs("jobs_by_k", results.jobs_by_k, (5,), f"SELECT {JOB_COLUMNS} FROM j WHER
 on_jobs("jobs_time_range", results.jobs_in_time, (50_000, 100_000), f"SELECT {JOB_COLUMNS} FROM j WHERE status = 'COMPLETED' AND execution_time_ms BETWEEN 50000 AND 100000")
 on_jobs("top_jobs", results.slowest_or_fastest, (10, False), f"SELECT {JOB_COLUMNS} FROM j WHERE status = 'COMPLETED' ORDER BY execution_time_ms DESC, job_id LIMIT 10")
 on_jobs("fastest_jobs", results.slowest_or_fastest, (10, True), f"SELECT {JOB_COLUMNS} FROM j WHERE status = 'COMPLETED' ORDER BY execution_time_ms, job_id LIMIT 10")
+on_jobs("cancel_job", results.cancelled, (3,), "SELECT job_id, CASE WHEN job_id = 3 AND status IN ('PENDING', 'RUNNING') THEN 'FAILED' ELSE status END AS status, k, execution_time_ms, strftime(created_on, '%Y-%m-%d') AS created_on, CASE WHEN job_id = 3 AND status IN ('PENDING', 'RUNNING') THEN 'Job cancelled by user' END AS error_message FROM j")
 on_jobs("job_flags", results.job_flags, (), "SELECT job_id, round(execution_time_ms / 1000.0, 3) AS execution_seconds, status IN ('COMPLETED', 'FAILED') AS is_completed, status = 'RUNNING' AS is_running FROM j")
 on_jobs("job_statistics", results.job_statistics, (), "SELECT count(*) AS total, count(*) FILTER (status = 'COMPLETED') AS completed, count(*) FILTER (status = 'FAILED') AS failed, count(*) FILTER (status = 'RUNNING') AS running, count(*) FILTER (status = 'PENDING') AS pending, round(coalesce(avg(execution_time_ms) FILTER (status = 'COMPLETED'), 0), 3) AS avg_ms, CAST(coalesce(sum(execution_time_ms) FILTER (status = 'COMPLETED'), 0) AS BIGINT) AS sum_ms, coalesce(max(execution_time_ms) FILTER (status = 'COMPLETED'), 0) AS max_ms, coalesce(min(execution_time_ms) FILTER (status = 'COMPLETED'), 0) AS min_ms FROM j")
 register("truncate_error", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.md5(columns.truncate_error(F.col("text")).cast("binary")).alias("message_md5")), "SELECT doc_id, md5(CASE WHEN text IS NULL THEN 'Unknown error' WHEN length(text) > 1000 THEN text[1 : 997] || '...' ELSE text END) AS message_md5 FROM documents")
-register("files_by_type", lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", F.when(F.startswith("url", F.lit("https")), "profit").otherwise("database").alias("file_type"), F.octet_length("html").cast("long").alias("file_size")).filter("file_type = 'database'"), "SELECT page_id, 'database' AS file_type, CAST(strlen(html) AS BIGINT) AS file_size FROM pages WHERE NOT starts_with(url, 'https')")

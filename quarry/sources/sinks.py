@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.columns import braces, items_json
+from quarry.functions.columns import braces, items_json, truncated
 from quarry.operators.mining import answer_order
 
 
@@ -28,6 +30,19 @@ def json_rows(topk: DataFrame) -> DataFrame:
     return ranked(topk).select("rank", value.alias("value"))
 
 
+def json_document(topk: DataFrame, statistics: list[dict], timestamp: Column) -> DataFrame:
+    """One row with one JSON object: ``timestamp``, ``topKItemsets`` and ``statistics`` (an entry for each level)."""
+    sets = json_rows(topk).agg(F.array_sort(F.collect_list(F.struct("rank", "value")))["value"].alias("sets"))  # at most k
+    parts = [F.lit('{"timestamp":"'), F.date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ss"), F.lit('","topKItemsets":['), F.array_join("sets", ","), F.lit(f'],"statistics":{json.dumps(statistics)}}}')]
+    return sets.select(F.concat(*parts).alias("value"))
+
+
+def console_lines(topk: DataFrame) -> DataFrame:
+    """rank, line: the rows of a console table, itemsets cut at 30 characters."""
+    line = F.format_string("| %4d | %-30s | %14.4f | %9.6f | %7d |", "rank", truncated(braces(F.col("items")), 30), "expected_utility", "probability", "support")
+    return ranked(topk).select("rank", line.alias("line"))
+
+
 def export(topk: DataFrame, path: str, kind: str) -> None:
     """Write as csv, json or text."""
     if kind == "csv":
@@ -48,3 +63,8 @@ def result_entities(topk: DataFrame, job_id: Column) -> DataFrame:
 def store_results(entities: DataFrame, path: str) -> None:
     """Replace the results of the jobs in ``entities``; other jobs' partitions stay."""
     entities.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id").parquet(path)
+
+
+def stored_results(spark: SparkSession, path: str) -> DataFrame:
+    """What ``store_results`` wrote; a filter on ``job_id`` reads that job's folder alone."""
+    return spark.read.parquet(path)
