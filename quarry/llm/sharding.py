@@ -8,7 +8,7 @@ document at each end.
 
 Only ids, tie breakers and sizes are sorted. Where the rows carry more, each
 looks its place up by the file and line it is stored in, so long texts are
-shuffled once at most and never sorted.
+shuffled once and never sorted.
 
 Law ``bytes`` cuts the order of ids, and equal texts may lie anywhere in it, so
 groups of equal texts are not kept together: a group may hold a third of all
@@ -53,7 +53,7 @@ def assign_shards(df: DataFrame, n_shards: int = N_SHARDS, id_col: str = "doc_id
     rows = located(df)
     slim = stage(rows.select(*[F.col("row")[c].alias(f"_k{k}") for k, c in enumerate(names)], F.col("row")[size_col].cast("long").alias("_size"), "_file", "_at"), "shard-sizes")
     found = stage(places(slim, [*order, "_file", "_at"], n_shards).select("_file", "_at", "shard", "slot"), "shard-places")
-    return rows.join(found, ["_file", "_at"]).select("row", "shard", "slot")
+    return rows.join(found.hint("shuffle_hash"), ["_file", "_at"]).select("row", "shard", "slot")  # a place for each row: never broadcast
 
 
 def write_shards(placed: DataFrame, path: str | None = None) -> str:
