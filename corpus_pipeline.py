@@ -26,7 +26,7 @@ from quarry.llm.rules import rule_filter
 from quarry.llm.sharding import assign_shards
 from quarry.llm.simhash import keep_one
 from quarry.llm.text import byte_size, crc
-from quarry.plans.staging import discard_since, mark, stage
+from quarry.plans.staging import discard, scope, stage
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,10 +70,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    point = mark()
-    for name, function in STAGES:
-        docs = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
-        discard_since(point, docs)
+    """All stages over ``documents``; what a stage has read and staged is deleted once its result is written."""
+    docs, written = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    with scope() as whole:
+        for name, function in STAGES:
+            with scope() as own:
+                docs = stage(function(spark, docs, sf_dir), f"pipeline-{name}")
+                own.keep(docs)
+            if written is not None:
+                discard(written)
+            written = docs
+        whole.keep(docs)
     return docs

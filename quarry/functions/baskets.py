@@ -46,7 +46,7 @@ def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``results`` as a job leaves them: written once for each session and table, and read back."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORES:
-        path = new_path(spark, "results")
+        path = new_path(spark, "results", lasting=True)
         sinks.store_results(results(spark, sf_dir), path)
         _STORES[key] = path
     return sinks.stored_results(spark, _STORES[key]).select("job_id", "items", "size", "expected_utility", "probability", "support", "rank")
