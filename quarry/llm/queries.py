@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.llm.audit import op13_audit
 from quarry.llm.decontaminate import op9_decontaminate
 from quarry.llm.factorisation import op2_quality
+from quarry.llm.languages import op12_language
 from quarry.llm.lines import op3_lines
 from quarry.llm.mixing import op10_mixing
+from quarry.llm.negatives import op11_negatives
 from quarry.llm.pii import op1_pii
 from quarry.llm.rules import op5_rules
 from quarry.llm.sharding import op7_sharding
 from quarry.llm.simhash import op4_simhash
 from quarry.llm.substrings import op6_substrings
 from quarry.llm.warc import op8_warc
+from quarry.plans.staging import scoped
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,19 +30,26 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_pii": op1_pii,
-    "op2_quality": op2_quality,
-    "op3_lines": op3_lines,
-    "op4_simhash": op4_simhash,
-    "op5_rules": op5_rules,
-    "op6_substrings": op6_substrings,
-    "op7_sharding": op7_sharding,
-    "op8_warc": op8_warc,
-    "op9_decontaminate": op9_decontaminate,
-    "op10_mixing": op10_mixing,
-    "pipeline": pipeline,
+    name: scoped(query)
+    for name, query in {
+        "op1_pii": op1_pii,
+        "op2_quality": op2_quality,
+        "op3_lines": op3_lines,
+        "op4_simhash": op4_simhash,
+        "op5_rules": op5_rules,
+        "op6_substrings": op6_substrings,
+        "op7_sharding": op7_sharding,
+        "op8_warc": op8_warc,
+        "op9_decontaminate": op9_decontaminate,
+        "op10_mixing": op10_mixing,
+        "op11_negatives": op11_negatives,
+        "op12_language": op12_language,
+        "op13_audit": op13_audit,
+        "pipeline": pipeline,
+    }.items()
 }
 
+
 ORACLE_SQL: dict[str, str] = {
     "op6_substrings": """
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws FROM documents),
@@ -118,4 +129,30 @@ e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size)
 SELECT doc_id, size, source_size, target,
        CAST(CASE WHEN size = 0 THEN 0 ELSE size * (epochs + CASE WHEN before + size / 2 <= target - epochs * source_size THEN 1 ELSE 0 END) END AS BIGINT) AS taken
 FROM e""",
+    "op11_negatives": """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""",
+    "op13_audit": """
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM d),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+  CAST(len(ws) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(ws)) < 50 * len(ws) AS INT) + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS INT)
+  + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS INT) AS mask
+  FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY part, mask),
+f(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT concat(a.letter, b.letter, c.letter, d.letter, e.letter) AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits FROM f a, f b, f c, f d, f e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31),
+s AS (SELECT filter_order, CAST(step AS INT) AS step, bits[step] AS own, CAST(coalesce(list_sum(bits[1 : step - 1]), 0) AS INT) AS before FROM (SELECT *, unnest(range(1, 6)) AS step FROM o)),
+r AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER ((mask & (before + own)) = 0), 0) AS kept, coalesce(sum(n) FILTER ((mask & before) = 0 AND (mask & own) > 0), 0) AS removed,
+  coalesce(sum(n) FILTER ((mask & before) > 0 AND (mask & own) > 0), 0) AS redundant, coalesce(sum(n) FILTER (mask = own), 0) AS unique_fails,
+  coalesce(sum(good) FILTER ((mask & before) = 0 AND (mask & own) > 0), 0) AS good_lost, coalesce(sum(toxic) FILTER ((mask & before) = 0 AND (mask & own) > 0), 0) AS toxic_lost
+  FROM s, c GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r""",
 }
