@@ -139,10 +139,11 @@ def new_job_id() -> str:
 
 
 def pruning_rates(levels: DataFrame) -> DataFrame:
-    """Of all levels together: itemsets evaluated, going on and given up, and the shares of both."""
-    sums = levels.agg(F.sum("evaluated").alias("evaluated"), F.sum("kept").alias("kept"))
-    share = lambda c: F.round(F.when(F.col("evaluated") > 0, c / F.col("evaluated")).otherwise(0.0), 6)
-    return sums.select("evaluated", "kept", (F.col("evaluated") - F.col("kept")).alias("pruned"), share(F.col("kept")).alias("kept_share"), share(F.col("evaluated") - F.col("kept")).alias("pruned_share"))
+    """Of all levels together: itemsets evaluated, going on and given up, joins met and dropped, and the shares of all of them."""
+    sums = levels.agg(*[F.sum(c).alias(c) for c in ("evaluated", "kept", "met", "dropped")])
+    share = lambda c, whole: F.round(F.when(F.col(whole) > 0, c / F.col(whole)).otherwise(0.0), 6)
+    given_up = F.col("evaluated") - F.col("kept")
+    return sums.select("evaluated", "kept", given_up.alias("pruned"), share(F.col("kept"), "evaluated").alias("kept_share"), share(given_up, "evaluated").alias("pruned_share"), "met", "dropped", share(F.col("met") - F.col("dropped"), "met").alias("join_success"))
 
 
 def cancelled(jobs: DataFrame, job_id: int) -> DataFrame:

@@ -189,20 +189,26 @@ def test_levels_match_brute_force(spark):
                 bound += min(max(0.0, u + rem), max(0.0, u) * best + rem_p) * p
         return eu, 1 - none, support, bound
 
-    want, top, level = [], [], [(i,) for i in order]
-    while True:
-        seen = {x: f for x in level if (f := facts(x))[2]}
-        top = sorted(top + [f[0] for f in seen.values() if f[0] >= 0 and f[1] >= min_prob - 1e-10], reverse=True)[:k]
-        threshold = top[-1] if len(top) == k else 0.0
-        kept = [x for x, f in seen.items() if f[3] >= threshold - 1e-10]
-        want.append((len(want) + 1, len(seen), len(kept)))
-        level = [(*x, i) for x in kept for i in order[rank[x[-1]] + 1 :] if weight[i] >= threshold - 1e-10]
-        if not kept:
-            break
+    def best(sets):
+        found = sorted((f[0] for f in map(facts, sets) if f[2] and f[0] >= 0 and f[1] >= min_prob - 1e-10), reverse=True)[:k]
+        return found[-1] if len(found) == k else 0.0
+
+    # pairs raise the threshold before any prefix goes on; a pair needs a root that the single items' threshold leaves
+    singles, pairs = [(i,) for i in order], list(itertools.combinations(order, 2))
+    low, high = best(singles), best(singles + pairs)
+    weights = {i: sum(gain[t] * row[i][1] for t, row in enumerate(tx) if i in row) for i in order}
+    met = [x for x in pairs if facts(x)[2] and facts(x[:1])[3] >= low and weights[x[0]] >= low and weights[x[1]] >= low]
     mined = mining.mine(*frames(spark, lines, profit), k, min_prob)
-    assert [(x.size, x.itemsets, x.kept) for x in mined.levels] == want and len(want) > 1
+    one, two = mined.levels[:2]
+    assert (one.itemsets, one.kept, one.met) == (len(order), sum(facts(x)[3] >= high for x in singles), sum(map(len, tx)))
+    assert (two.itemsets, two.met, two.dropped) == (len(met), sum(facts(x)[2] for x in met), 0) and two.kept <= sum(facts(x)[3] >= high for x in met)
+    assert abs(one.threshold - high) < 1e-6 and one.kept < sum(facts(x)[3] >= low for x in singles)
+    joined = mining.Best(k, min_prob)
+    levels = mining.search_by_joins(mining.level_one(*frames(spark, lines, profit)), joined, False, None)
+    assert [r[:2] for r in joined.rows] == [(r["items"], r["size"]) for r in mined.topk.collect()] and len(levels) >= len(mined.levels) and levels[1].kept >= two.kept
     rates = results.pruning_rates(mined.statistics()).first()
-    assert (rates["evaluated"], rates["kept"]) == (sum(x[1] for x in want), sum(x[2] for x in want)) and abs(rates["kept_share"] + rates["pruned_share"] - 1) < 1e-5
+    assert (rates["evaluated"], rates["kept"]) == (sum(x.itemsets for x in mined.levels), sum(x.kept for x in mined.levels)) and abs(rates["kept_share"] + rates["pruned_share"] - 1) < 1e-5
+    assert (rates["met"], rates["join_success"]) == (sum(x.met for x in mined.levels), 1.0)
 
 
 def test_stored_results_are_replaced_by_job(spark, tmp_path):
