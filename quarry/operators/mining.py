@@ -135,6 +135,16 @@ def mine(tx: DataFrame, profit: DataFrame, k: int, min_prob: float, semantics: s
         return Mined(spark.createDataFrame(best.rows, TOP_SCHEMA), levels)
 
 
+def _joined() -> list[Column]:
+    """What the write of a table of sums observes."""
+    return [F.count_if(F.col("n") > 0).alias("itemsets"), F.sum(F.col("n") + F.col("dropped")).alias("met"), F.sum("dropped").alias("dropped")]
+
+
+def _observed(seen: Observation, written: DataFrame) -> dict[str, int]:
+    """The metrics of ``_joined``; a plan that turned out empty observes nothing."""
+    return {"itemsets": 0, "met": 0, "dropped": 0} if written.isEmpty() else seen.get
+
+
 def _answers(sums: DataFrame, items: Column, size: int) -> DataFrame:
     return sums.select(F.array_sort(items).alias("items"), F.lit(size).alias("size"), F.col("eu").alias("expected_utility"), (1 - F.exp("slp")).alias("probability"), F.col("n").alias("support"))
 
@@ -159,9 +169,11 @@ def search_by_prefixes(packs: DataFrame, best: Best, path: bool, max_size: int)
     if max_size > 1 and items.root.any():
         seen = Observation("pairs")
         counted = packed.pair_sums(packs, items, path)
-        pairs = stage(counted.observe(seen, F.count_if(F.col("n") > 0).alias("itemsets"), F.sum(F.col("n") + F.col("dropped")).alias("met"), F.sum("dropped").alias("dropped")), "pairs").filter("n > 0")
+        pairs = stage(counted.observe(seen, *_joined()), "pairs")
+        joined = _observed(seen, pairs)
+        pairs = pairs.filter("n > 0")
         best.take(_answers(pairs, F.array("item_a", "item_b"), 2))
-        second = Level(2, seen.get["itemsets"], 0, best.threshold, seen.get["met"] or 0, seen.get["dropped"] or 0)
+        second = Level(2, joined["itemsets"], 0, best.threshold, joined["met"], joined["dropped"])
         levels += [second] if second.met else []
         items.alive, items.root = items.alive & reaches(weight, best.threshold), items.root & reaches(bound, best.threshold)
         slack = lambda c: F.col(c) >= best.threshold - EPSILON - 1e-9 * abs(best.threshold)
@@ -203,8 +215,9 @@ def search_classes(packs: DataFrame, items: packed.Items, a: np.ndarray, b: np.n
     while large:
         # the sums of what follows the prefixes that are too large, then rows of one item more
         rows, seen = stage(only(rows, large, len(prefixes)), "classes"), Observation(f"level {length}")
-        sums = packed.child_sums(rows).observe(seen, F.count_if(F.col("n") > 0).alias("itemsets"), F.sum(F.col("n") + F.col("dropped")).alias("met"), F.sum("dropped").alias("dropped"))
-        sums = stage(sums, "children").filter("n > 0")
+        sums = stage(packed.child_sums(rows).observe(seen, *_joined()), "children")
+        joined = _observed(seen, sums)
+        sums = sums.filter("n > 0")
         if length > 2:  # pairs were counted before
             named = packs.sparkSession.createDataFrame(pd.DataFrame({"cls": np.array(large, np.int32), "front": [[int(by_code[x]) for x in prefixes[c]] for c in large]}), "cls int, front array<int>")
             best.take(_answers(sums.join(item_of, "code").join(named, "cls"), F.array_append("front", F.col("item")), length))
@@ -215,7 +228,7 @@ def search_classes(packs: DataFrame, items: packed.Items, a: np.ndarray, b: np.n
             return None
         if length > 2:
             level = levels.setdefault(length, [0, 0, 0, 0])
-            for k, x in enumerate((seen.get["itemsets"], len(children), seen.get["met"] or 0, seen.get["dropped"] or 0)):
+            for k, x in enumerate((joined["itemsets"], len(children), joined["met"], joined["dropped"])):
                 level[k] += x
         if not len(children) or length >= max_size:
             break
@@ -285,7 +298,7 @@ def search_by_joins(singles: DataFrame, best: Best, path: bool, max_size: int |
     singles = stage(singles, "elements")
     rows = singles.select("tid", F.lit(0).cast("long").alias("node"), "item", F.col("rank").alias("root_rank"), "rank", "path_rank", *LATER, "u", "lp")
     kept, size, levels = None, 1, []
-    while True:
+    while not rows.isEmpty():
         seen = Observation(f"join {size}")
         met = rows.observe(seen, F.count("*").alias("met"), F.count_if(F.col("lp") <= LOG_FLOOR).alias("dropped"))
         sums = met.filter(F.col("lp") > LOG_FLOOR).groupBy("node", "item").agg(expected_utility().alias("expected_utility"), existential_probability().alias("probability"), F.count("*").alias("support"), growth_bound().alias("bound"))
@@ -312,6 +325,7 @@ def search_by_joins(singles: DataFrame, best: Best, path: bool, max_size: int |
                 ahead = ahead & (F.col("x_path_rank") > F.col("path_rank"))
         rows = stage(_grown(base, singles, ahead & (F.col("x_rtwu") >= best.threshold - EPSILON), path), "grown")
         size += 1
+    return levels
 
 
 def mine_topk(tx: DataFrame, profit: DataFrame, k: int = 10, min_prob: float = 0.3, semantics: str = "exact", max_size: int | None = None) -> DataFrame:

@@ -64,7 +64,7 @@ def test_every_way_gives_the_same_answer(spark, monkeypatch, limits, path):
 
 
 def test_sizes_and_underflow(spark, monkeypatch):
-    rows, profit = data(5, chances=(1.0, 0.9, 1e-200, 0.0, 1e-310))
+    rows, profit = data(5, chances=(1.0, 0.9, 1e-200, 0.0, 1e-305))
     for limits in ({}, {"CLASS_SIZE": 0}, {"ITEMS": 0}):
         for name, value in ({"CLASS_SIZE": 4_000_000, "ITEMS": 1_000_000} | limits).items():
             monkeypatch.setattr(mining, name, value)
