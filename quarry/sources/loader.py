@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import DEFAULT_PROBABILITY
@@ -11,6 +15,9 @@ from quarry.plans.staging import drop_path
 #: File formats by suffix.
 FORMATS = {"txt": "text", "csv": "csv", "json": "json", "bin": "binary"}
 
+#: Blocks of input files whose counts the driver may hold.
+BLOCKS = 1_000_000
+
 
 def detect_format(name: str) -> str:
     return FORMATS.get(name.rpartition(".")[2].lower() if "." in name else "", "text")
@@ -19,25 +26,62 @@ def detect_format(name: str) -> str:
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """tid, line: lines that are neither blank nor comments, numbered from 1 in file order.
 
-    Each block of a file numbers its own lines; the counts of the blocks before
-    give its offset. No task sees more than a block.
+    Tasks read one block of a file each. A first pass counts the lines of every block, and
+    the counts of the blocks before (a row for each block, summed by one small window) are
+    what its own lines begin with; the second pass counts on from there as it reads. No line
+    is shuffled or sorted.
     """
-    raw = spark.read.text(path).select(F.btrim("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    raw = spark.read.text(path).select(F.btrim("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     raw = raw.filter((F.length("line") > 0) & ~F.startswith("line", F.lit("#")))
     counts = raw.groupBy("file", "block").agg(F.count("*").alias("n"))
     before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    offsets = counts.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("offset"))
+    rows = offsets.limit(BLOCKS + 1).collect()
+    if len(rows) > BLOCKS:  # the table of blocks joins instead, which moves slim rows of places alone
+        return _numbered_by_join(raw, offsets)
+    places = {(r["file"], r["block"]): r["offset"] for r in rows}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, key = 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            files, blocks = batch.column(1).dictionary_encode(), batch.column(2).to_numpy()
+            of = files.indices.to_numpy()
+            new = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (blocks[1:] != blocks[:-1]))))
+            tids = np.empty(batch.num_rows, np.int64)
+            for low, high in zip(new, [*new[1:], batch.num_rows], strict=True):
+                own = (files.dictionary[int(of[low])].as_py(), int(blocks[low]))
+                if own != key:
+                    key, at = own, places[own]
+                tids[low:high] = at + 1 + np.arange(high - low)
+                at += int(high - low)
+            yield pa.RecordBatch.from_arrays([pa.array(tids), batch.column(0)], ["tid", "line"])
+
+    return raw.mapInArrow(run, "tid long, line string")
+
+
+def _numbered_by_join(raw: DataFrame, offsets: DataFrame) -> DataFrame:
     inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("at"))
-    return raw.withColumn("n", inside).join(offsets, ["file", "block"]).select((F.col("offset") + F.col("n")).cast("long").alias("tid"), "line")
+    return raw.withColumn("at", F.monotonically_increasing_id()).withColumn("n", inside).join(offsets, ["file", "block"]).select((F.col("offset") + F.col("n")).cast("long").alias("tid"), "line")
 
 
 def parse_transactions(lines: DataFrame) -> DataFrame:
-    """tid, item, quantity, probability of valid entries ``item:quantity[:probability]``; the last of an item wins."""
-    parts = F.split(F.regexp_replace("entry", ":+$", ""), ":")
-    fields = lines.select("tid", F.posexplode(F.split("line", "\\s+")).alias("pos", "entry")).select("tid", "pos", parts.alias("x"))
-    typed = fields.filter(F.size("x").between(2, 3)).select("tid", "pos", F.expr("try_cast(x[0] AS INT)").alias("item"), F.expr("try_cast(x[1] AS INT)").alias("quantity"), F.when(F.size("x") == 2, DEFAULT_PROBABILITY).otherwise(F.expr("try_cast(get(x, 2) AS DOUBLE)")).alias("probability"))
-    valid = typed.filter("item is not null and quantity > 0 and probability between 0 and 1 and not isnan(probability)")
-    return valid.groupBy("tid", "item").agg(F.max_by(F.struct("quantity", "probability"), "pos").alias("v")).select("tid", "item", "v.*")
+    """tid, item, quantity, probability of valid entries ``item:quantity[:probability]``; the last of an item wins.
+
+    A transaction is a line, so all of this happens within a row: entries are sorted by item
+    and place, and one followed by the same item goes.
+    """
+    def entry(text: Column, at: Column) -> Column:
+        x = F.split(F.regexp_replace(text, ":+$", ""), ":")
+        probability = F.when(F.size(x) == 2, F.lit(DEFAULT_PROBABILITY)).otherwise(F.get(x, 2).try_cast("double"))
+        fits = F.size(x).between(2, 3)
+        return F.when(fits, F.struct(F.get(x, 0).try_cast("int").alias("item"), at.alias("at"), F.get(x, 1).try_cast("int").alias("quantity"), probability.alias("probability")))
+
+    valid = lambda e: e.isNotNull() & e["item"].isNotNull() & (e["quantity"] > 0) & e["probability"].between(0, 1) & ~F.isnan(e["probability"])
+    found = F.array_sort(F.filter(F.transform(F.split("line", "\\s+"), entry), valid))
+    last = F.transform(F.array(found), lambda s: F.filter(s, lambda e, i: F.coalesce(F.get(s, i + 1)["item"] != e["item"], F.lit(True))))[0]
+    return lines.select("tid", F.explode(last).alias("e")).select("tid", "e.item", "e.quantity", "e.probability")
 
 
 def read_transactions(spark: SparkSession, path: str) -> DataFrame:

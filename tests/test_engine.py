@@ -257,3 +257,21 @@ def test_exports(spark, tmp_path):
         sinks.export(top, str(tmp_path / kind), kind)
     assert spark.read.text(str(tmp_path / "text")).first()[0] == "1. {2} EU=49.3500 P=0.7246 S=4"
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).first()["Itemset"] == "{2}"
+
+
+def test_lines_are_numbered_in_file_order_without_a_shuffle(spark, tmp_path, monkeypatch):
+    """Several files, cut into many blocks, with lines that do not count between."""
+    want = []
+    for name in "abc":
+        text = [f"{name}{i}" + " x" * (i % 50) for i in range(700)]
+        want += [x.strip() for x in text]
+        (tmp_path / f"{name}.txt").write_text("\n\n# no\n  \n".join(text) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        numbered = loader.numbered_lines(spark, str(tmp_path))
+        assert "Exchange" not in numbered._jdf.queryExecution().executedPlan().toString() and numbered.rdd.getNumPartitions() > 20
+        assert [r["line"] for r in sorted(numbered.collect())] == want and [r["tid"] for r in sorted(numbered.collect())] == list(range(1, 2101))
+        monkeypatch.setattr(loader, "BLOCKS", 3)
+        assert [r["line"] for r in sorted(loader.numbered_lines(spark, str(tmp_path)).collect())] == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

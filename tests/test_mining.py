@@ -70,6 +70,7 @@ def test_sizes_and_underflow(spark, monkeypatch):
             monkeypatch.setattr(mining, name, value)
         for size in (1, 2, 3):
             assert found(spark, rows, profit, 9, 0.0, False, size) == brute(rows, profit, 9, 0.0, False, size), (limits, size)
+    monkeypatch.undo()
     levels = mining.mine(spark.createDataFrame(rows, TX), spark.createDataFrame(list(profit.items()), PROFIT), 500, 0.0).levels
     assert levels[0].dropped > 0 and levels[1].dropped > 0 and [x.size for x in levels] == list(range(1, len(levels) + 1))
 
