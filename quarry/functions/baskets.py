@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import mining
 from quarry.plans.staging import new_path
-from quarry.sources import sinks
+from quarry.sources.store import ResultStore
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,11 +30,10 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Single items and pairs in the shape of stored results, ranked within their job."""
+    """Mined single items and pairs as results of five jobs, ranked within their job."""
     tx = transactions(spark, sf_dir)
-    pr = profits(tx)
-    stats = mining.level_statistics(tx, pr, 1).unionByName(mining.level_statistics(tx, pr, 2)).filter("expected_utility >= 0")
-    rows = stats.select((F.col("items")[0] % 5).alias("job_id"), "items", "size", F.round("expected_utility", 4).alias("expected_utility"), F.round("probability", 6).alias("probability"), "support")
+    mined = mining.mine_topk(tx, profits(tx), 1 << 20, 0.0, max_size=2)
+    rows = mined.select((F.col("items")[0] % 5).alias("job_id"), "items", "size", F.round("expected_utility", 4).alias("expected_utility"), F.round("probability", 6).alias("probability"), "support")
     order = Window.partitionBy("job_id").orderBy(F.desc("expected_utility"), F.desc("probability"), "size", "items")
     return rows.withColumn("rank", F.row_number().over(order))
 
@@ -42,11 +41,20 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STORES: dict[tuple[str, str], str] = {}
 
 
-def stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``results`` as a job leaves them: written once for each session and table, and read back."""
+def store(spark: SparkSession, sf_dir: str) -> ResultStore:
+    """The store of ``results``: written once for each session and table, anew if it is gone."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _STORES:
-        path = new_path(spark, "results", lasting=True)
-        sinks.store_results(results(spark, sf_dir), path)
-        _STORES[key] = path
-    return sinks.stored_results(spark, _STORES[key]).select("job_id", "items", "size", "expected_utility", "probability", "support", "rank")
+    if key in _STORES:
+        found = ResultStore(spark, _STORES[key])
+        if not found.versions().isEmpty():
+            return found
+    made = ResultStore(spark, new_path(spark, "results", lasting=True))
+    made.replace(results(spark, sf_dir))
+    _STORES[key] = made.path
+    return made
+
+
+def stored(spark: SparkSession, sf_dir: str, job_id: int | None = None) -> DataFrame:
+    """Stored results of one job or of all."""
+    found = store(spark, sf_dir).results(job_id)
+    return found.withColumn("job_id", F.col("job_id").cast("int"))

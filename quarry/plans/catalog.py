@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions import baskets, columns
 from quarry.operators import mining, prepare, results
-from quarry.plans.staging import new_path, stage
+from quarry.plans.staging import new_path, scoped
 from quarry.sources import generator, loader, sinks
+from quarry.sources.store import ResultStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -50,7 +51,7 @@ def query(name: str, sql: str | None = None):
     """Register a query and its SQL."""
 
     def keep(function):
-        QUERIES[name] = function
+        QUERIES[name] = scoped(function)
         if sql:
             ORACLE_SQL[name] = sql
         return function
@@ -258,17 +259,23 @@ def on_results(name: str, function, more: tuple, sql: str) -> None:
     register(name, _results(function, *more), f"WITH {RESULTS} {sql}")
 
 
+def on_store(name: str, function, sql: str) -> None:
+    """A query that the store answers by its indexes or the order of its files."""
+    register(name, lambda s, d: function(baskets.store(s, d)).select(F.col("job_id").cast("int").alias("job_id"), columns.items_key(F.col("items")).alias("items"), "size", "expected_utility", "probability", "support", "rank"), f"WITH {RESULTS} {sql}")
+
+
 OF_JOB = f"SELECT {RES_COLUMNS} FROM res WHERE job_id = {JOB}"
 on_results("itemsets_by_rank", results.by_rank, (JOB,), OF_JOB)
 on_results("itemsets_by_utility", results.by_utility, (JOB,), OF_JOB)
 on_results("high_utility", results.high_utility, (JOB, 1000.0), f"{OF_JOB} AND expected_utility >= 1000")
 on_results("itemsets_by_size", results.by_size, (JOB, 2), f"{OF_JOB} AND size = 2")
-on_results("itemsets_containing", results.containing, (JOB, 12), f"{OF_JOB} AND list_contains(list, 12)")
+on_store("itemsets_containing", lambda x: x.containing(JOB, 12), f"{OF_JOB} AND list_contains(list, 12)")
 on_results("itemsets_containing_text", results.containing_text, (JOB, "2"), f"{OF_JOB} AND items LIKE '%2%'")
-on_results("search_itemsets", results.search, (JOB, "17"), f"{OF_JOB} AND (items LIKE '%17%' OR printf('%.4f', expected_utility) LIKE '%17%')")
+on_store("search_itemsets", lambda x: x.search(JOB, "17"), f"{OF_JOB} AND (items LIKE '%17%' OR printf('%.4f', expected_utility) LIKE '%17%')")
 on_results("page_totals", results.page_totals, (JOB, 10), f"SELECT count(*) AS total_elements, CAST(ceil(count(*) / 10) AS INT) AS total_pages FROM res WHERE job_id = {JOB}")
 on_results("search_utility_probability", results.search_utility_probability, (500.0, 0.9, 1, 15), f"SELECT {RES_COLUMNS} FROM res WHERE expected_utility >= 500 AND probability >= 0.9 ORDER BY expected_utility DESC, probability DESC, job_id, rank LIMIT 15 OFFSET 15")
-on_results("itemsets_page", results.page_of, (JOB, 2, 10), f"{OF_JOB} ORDER BY rank LIMIT 10 OFFSET 20")
+on_store("search_itemsets_by_grams", lambda x: x.search(JOB, "12,"), f"{OF_JOB} AND (items LIKE '%12,%' OR printf('%.4f', expected_utility) LIKE '%12,%')")
+on_store("itemsets_page", lambda x: x.page(JOB, 2, 10), f"{OF_JOB} ORDER BY rank LIMIT 10 OFFSET 20")
 on_results("job_topk", results.job_topk, (JOB, 10), f"{OF_JOB} ORDER BY expected_utility DESC, rank LIMIT 10")
 on_results("global_topk", results.global_topk, (25,), f"SELECT {RES_COLUMNS} FROM res ORDER BY expected_utility DESC, probability DESC, job_id, rank LIMIT 25")
 for _name, _column, _digits in (("utility_statistics", "expected_utility", 3), ("probability_statistics", "probability", 6)):
@@ -278,7 +285,17 @@ on_results("size_distribution", results.size_distribution, (), "SELECT job_id, s
 on_results("count_by_job", results.counts, (), "SELECT job_id, count(*) AS n FROM res GROUP BY job_id")
 on_results("count_high_utility", results.counts, (1000.0,), "SELECT job_id, count(*) AS n FROM res WHERE expected_utility >= 1000 GROUP BY job_id")
 on_results("per_job_statistics", results.per_job_statistics, (), "SELECT job_id, count(*) AS n, max(expected_utility) AS max_utility, min(expected_utility) AS min_utility, max(probability) AS max_probability, min(probability) AS min_probability, max(size) AS max_size FROM res GROUP BY job_id")
-register("delete_job", lambda s, d: results.without_job(baskets.stored(s, d), s.range(JOB, JOB + 1).select(F.col("id").cast("int").alias("job_id"))).withColumn("items", columns.items_key(F.col("items"))), f"WITH {RESULTS} SELECT {RES_COLUMNS} FROM res WHERE job_id <> {JOB}")
+
+
+@query("delete_job", f"WITH {RESULTS} SELECT {RES_COLUMNS} FROM res WHERE job_id <> {JOB}")
+def _delete_job(spark, d):
+    """What a store of its own holds after one of its jobs was deleted."""
+    own = ResultStore(spark, new_path(spark, "results"))
+    own.replace(baskets.stored(spark, d))
+    own.delete([JOB])
+    return own.results().select(F.col("job_id").cast("int").alias("job_id"), columns.items_key(F.col("items")).alias("items"), "size", "expected_utility", "probability", "support", "rank")
+
+
 register("itemsets_with_job", lambda s, d: results.with_job(baskets.stored(s, d), baskets.jobs(s, d)).select("job_id", columns.items_key(F.col("items")).alias("items"), "rank", "status", "k"), f"WITH {RESULTS}, {JOBS} SELECT job_id, items, rank, status, k FROM res JOIN j USING (job_id)")
 register("entity_formatting", lambda s, d: baskets.stored(s, d).select("job_id", "rank", columns.braces(F.col("items")).alias("itemset"), F.format_string("%.4f", "expected_utility").alias("utility"), F.round(F.col("probability") * 100, 4).alias("percentage"), (F.col("expected_utility") >= 1000).alias("is_high")), f"WITH {RESULTS} SELECT job_id, rank, '{{' || array_to_string(list, ', ') || '}}' AS itemset, printf('%.4f', expected_utility) AS utility, round(probability * 100, 4) AS percentage, expected_utility >= 1000 AS is_high FROM res")
 

@@ -56,15 +56,5 @@ def export(topk: DataFrame, path: str, kind: str) -> None:
 
 
 def result_entities(topk: DataFrame, job_id: Column) -> DataFrame:
-    """Stored form of a job's answers."""
-    return ranked(topk).select(job_id.alias("job_id"), items_json(F.col("items")).alias("items_json"), F.col("size").alias("itemset_size"), "expected_utility", "probability", "support", "rank")
-
-
-def store_results(entities: DataFrame, path: str) -> None:
-    """Replace the results of the jobs in ``entities``; other jobs' partitions stay."""
-    entities.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id").parquet(path)
-
-
-def stored_results(spark: SparkSession, path: str) -> DataFrame:
-    """What ``store_results`` wrote; a filter on ``job_id`` reads that job's folder alone."""
-    return spark.read.parquet(path)
+    """Stored form of a job's answers: the columns that every query on results reads, and the entity's own names beside them."""
+    return ranked(topk).select(job_id.alias("job_id"), "items", "size", items_json(F.col("items")).alias("items_json"), F.col("size").alias("itemset_size"), "expected_utility", "probability", "support", "rank")
