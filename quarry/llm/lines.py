@@ -9,17 +9,15 @@ signature is the minima of ``BANDS`` x ``ROWS`` hashes of its shingles, a hash o
 each ``ROWS`` of them is a band. At similarity 0.8 two lines agree in a band with
 a chance of 98.6 %.
 
-The members of a bucket all meet one of them, its centre, so rows stay linear
-whatever a bucket holds. The Jaccard similarity of the whole shingle sets decides.
-Where a bucket holds members unlike its centre, all its members meet once more: in
-the buckets of every two and every three bands that they share, each with a centre
-of its own, drawn by hash; members that are like the same centre already are not
-compared again. Those buckets hold closer lines, the rest of a family of templates
-stays behind, and lines that are similar share several of them. Links merge
-components at the end. No cap is set on a bucket. Two similar lines are lost only
-if they share no band or are unlike every centre that they meet; the test holds
-that against all pairs. The first line of each component (by document, text,
-place) is kept.
+The members of a bucket all meet one of them, its centre, so copies of one line with
+small changes cost a row each. Where a bucket holds members unlike its centre, those meet
+all others of the bucket, each pair exactly: both sides are cut into tiles of known size, and
+a task counts the common shingles of two tiles by matrix products of their incidence.
+Jaccard distance is a metric, so members whose distances from the centre differ by
+more than the limit need no count. A task returns a link for each line, not for each pair, so rows
+stay near linear; no cap is set on a bucket. Links merge components at the end. Two
+similar lines are lost only if they share no band; the tests hold that against all pairs. The
+first line of each component (by document, text, place) is kept.
 
 Shingles of eight bytes are whole numbers, so the sets are exact. They are made
 in NumPy from Arrow's buffers, since rows or lambdas for every character of the
@@ -37,7 +35,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -52,8 +49,8 @@ from quarry.plans.staging import discard, stage
 
 SHINGLE, SIMILARITY = 8, 0.8
 BANDS, ROWS = 6, 3
-#: Bands that members of a bucket share when they meet for the second time.
-LEVELS = (2, 3)
+#: Lines and bytes of a tile, and shingles whose incidence is multiplied at a time.
+TILE, TILE_BYTES, COLUMNS = 512, 1 << 18, 4096
 #: Bytes of text worked on at a time, and shingles whose hashes are held at a time.
 CHUNK_BYTES, CHUNK = 4 << 20, 1 << 15
 #: Odd multipliers of the hashes of a signature.
@@ -185,63 +182,124 @@ def line_texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return stage(met.select("text", "wanted").mapInArrow(run, "id long, line binary").dropDuplicates(["id"]), "line-texts")
 
 
+def whole(line: bytes) -> np.ndarray:
+    """The shingle set of a line."""
+    return pd.unique(line_shingles([line])[0])
+
+
 def judged(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Staged (a, b, near): whether whole shingle sets reach ``SIMILARITY``; many pairs may share ``a``."""
+    """Staged (a, b, similarity) of whole shingle sets; many pairs may share ``a``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = lambda line: pd.unique(line_shingles([line])[0])
         for batch in batches:
-            last, x, near = None, None, []
+            last, x, found = None, None, []
             a, lines_a, lines_b = batch.column(0).to_pylist(), batch.column(2), batch.column(3)
             for k in range(batch.num_rows):
                 if a[k] != last:
                     last, x = a[k], whole(lines_a[k].as_py())
                 y = whole(lines_b[k].as_py())
-                if min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)) - 1e-9:
-                    near.append(False)
-                    continue
                 common = len(x) + len(y) - len(pd.unique(np.concatenate((x, y))))
-                near.append(common >= SIMILARITY * (len(x) + len(y) - common) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], ["a", "b", "near"])
+                found.append(common / (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], ["a", "b", "similarity"])
 
     side = lambda c: texts.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "line_a", "line_b")
-    return stage(both.mapInArrow(run, "a long, b long, near boolean"), "line-judged")
-
-
-def _keys(*sizes: int) -> Column:
-    """A row for each bucket of so many shared bands."""
-    some = [x for n in sizes for x in combinations(range(BANDS), n)]
-    band = [F.substr("bands", F.lit(8 * b + 1), F.lit(8)) for b in range(BANDS)]
-    return F.explode(F.array(*[F.xxhash64(F.lit(k), *[band[b] for b in x]) for k, x in enumerate(some)])).alias("bucket")
+    return stage(both.mapInArrow(run, "a long, b long, similarity double"), "line-judged")
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of one side shares with each of the other."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    sides = [(np.concatenate(x), np.repeat(np.arange(len(x)), [len(y) for y in x])) for x in (left, right)]
+    shared = np.intersect1d(sides[0][0], sides[1][0])
+    places = []
+    for codes, owner in sides:
+        at = np.minimum(np.searchsorted(shared, codes), max(0, len(shared) - 1))
+        some = shared[at] == codes if len(shared) else np.zeros(len(codes), bool)
+        order = np.argsort(at[some], kind="stable")
+        places.append((at[some][order], owner[some][order]))
+    for low in range(0, len(shared), COLUMNS):
+        width = min(COLUMNS, len(shared) - low)
+        blocks = []
+        for (at, owner), n in zip(places, (len(left), len(right)), strict=True):
+            part = slice(*np.searchsorted(at, (low, low + width)))
+            block = np.zeros((n, width), np.float32)
+            block[owner[part], at[part] - low] = 1
+            blocks.append(block)
+        out += blocks[0] @ blocks[1].T
+    return out
+
+
+def tile_links(ids: tuple[np.ndarray, np.ndarray], near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A link from each line with a neighbour to the smallest id that ``near`` (rows, columns) reaches."""
+    labels = [x.copy() for x in ids]
+    none = np.int64(np.iinfo(np.int64).max)
+    while True:
+        first = np.minimum(labels[0], np.where(near, labels[1][None, :], none).min(axis=1, initial=none))
+        second = np.minimum(labels[1], np.where(near, first[:, None], none).min(axis=0, initial=none))
+        if (first == labels[0]).all() and (second == labels[1]).all():
+            break
+        labels = [first, second]
+    a, b = np.concatenate(ids), np.concatenate(labels)
+    return a[a != b], b[a != b]
+
+
+def tiled(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links of the members of open buckets (bucket, id, similarity to the centre, unlike), every pair of them with one unlike judged."""
+    sized = members.join(texts.select("id", F.octet_length("line").alias("bytes")), "id")
+    tiles = lambda c: F.greatest(F.ceil(F.count_if(c) / TILE), F.ceil(F.sum(F.when(c, F.col("bytes"))) / TILE_BYTES)).cast("int")
+    counts = sized.groupBy("bucket").agg(tiles(F.col("unlike")).alias("asks"), tiles(F.lit(True)).alias("offers"))
+    rows = sized.join(counts, "bucket").join(texts, "id")
+    place = lambda n: F.pmod(F.xxhash64("id", "bucket"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    kept = ("bucket", "id", "line", "similarity", "unlike")
+    left = rows.filter("unlike").select(*kept, place("asks").alias("ask"), "offers").select(*kept, "ask", every("offers").alias("offer"))
+    right = rows.select(*[F.col(c).alias(c) for c in kept], place("offers").alias("offer"), "asks").select(*kept, every("asks").alias("ask"), "offer")
+
+    def run(asked: pa.Table, offered: pa.Table) -> pa.Table:
+        ids = [t["id"].to_numpy() for t in (asked, offered)]
+        out = (np.zeros(0, np.int64),) * 2
+        if len(ids[0]) and len(ids[1]):
+            far = [1 - t["similarity"].to_numpy() for t in (asked, offered)]
+            unlike = offered["unlike"].to_numpy().astype(bool)
+            open_ = np.abs(far[0][:, None] - far[1][None, :]) <= 1 - SIMILARITY + 1e-9
+            open_ &= ~unlike[None, :] | (ids[1][None, :] > ids[0][:, None])
+            rows, columns = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+            if len(rows) and len(columns):
+                sets = [[whole(t["line"][int(k)].as_py()) for k in some] for t, some in ((asked, rows), (offered, columns))]
+                common = common_counts(*sets)
+                sizes = [np.array([len(x) for x in side], np.float64) for side in sets]
+                near = common >= SIMILARITY * (sizes[0][:, None] + sizes[1][None, :] - common) - 1e-9
+                out = tile_links((ids[0][rows], ids[1][columns]), near & open_[np.ix_(rows, columns)])
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+    keys = ("bucket", "ask", "offer")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "a long, b long")
+
+
+def _keys() -> Column:
+    """A row for each band."""
+    return F.explode(F.array(*[F.xxhash64(F.lit(b), F.substr("bands", F.lit(8 * b + 1), F.lit(8))) for b in range(BANDS)])).alias("bucket")
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b): similar classes that met, one of them as a centre."""
-    rows = classes.select("id", _keys(1))
+    """(a, b): links that connect all similar classes that share a band."""
+    rows = classes.select("id", _keys())
     buckets = rows.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("high")).filter("centre < high").drop("high")
     met = stage(rows.join(buckets, "bucket"), "line-met")
     if met.isEmpty():
         return classes.sparkSession.createDataFrame([], "a long, b long")
     texts = line_texts(docs, classes.select("id", "first").join(met.select("id").distinct(), "id", "left_semi"))
     first = judged(met.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), texts)
-
-    unlike = first.filter("not near").select(F.col("a").alias("centre"), F.col("b").alias("id"))
-    open_ = met.join(unlike, ["centre", "id"]).select("bucket").distinct()
-    ids = met.join(open_, "bucket", "left_semi").select("id").distinct()
-    leader = first.filter("near").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("leader"))
-    left = classes.select("id", "bands").join(ids, "id", "left_semi").join(leader, "id", "left")
-    left = stage(left.select("id", F.coalesce("leader", "id").alias("root"), "bands"), "line-open")
+    like = F.col("similarity") >= SIMILARITY - 1e-9
+    known = met.join(first.select(F.col("a").alias("centre"), F.col("b").alias("id"), "similarity"), ["centre", "id"]).select("bucket", "id", "similarity", (~like).alias("unlike"))
+    known = stage(known, "line-known")
     discard(met)
-
-    members = left.select("id", "root", _keys(*LEVELS))
-    drawn = F.min(F.struct(F.xxhash64("id", "bucket").alias("h"), "id", "root")).alias("c")
-    buckets = members.groupBy("bucket").agg(drawn, F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket", "c")
-    apart = members.join(buckets, "bucket").filter("root <> c.root")
-    pairs = apart.select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct()
-    second = judged(pairs.join(first, ["a", "b"], "left_anti"), texts)
-    discard(left, texts)
-    return first.unionByName(second).filter("near").select("a", "b")
+    # nothing is left to find where one member alone is unlike the centre and none is like it
+    open_ = known.groupBy("bucket").agg(F.count_if("unlike").alias("n"), F.count("*").alias("all")).filter("n >= 1 and all >= 2").select("bucket")
+    second = stage(tiled(known.join(open_, "bucket", "left_semi"), texts).distinct(), "line-tiles")
+    discard(known, texts)
+    return first.filter(like).select("a", "b").unionByName(second)
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
