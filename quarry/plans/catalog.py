@@ -11,7 +11,10 @@ from quarry.functions import baskets, columns
 from quarry.operators import mining, prepare, results
 from quarry.plans.staging import new_path, scoped
 from quarry.sources import generator, loader, sinks
+from quarry.sources.files import FileCatalogue
 from quarry.sources.store import ResultStore
+from quarry.streaming import incremental
+from quarry.streaming.incremental import IncrementalState
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -126,6 +129,44 @@ f AS (SELECT 'database' AS file_type, string_agg(line || chr(10), '' ORDER BY ti
       UNION ALL SELECT 'profit', string_agg(concat(item, ' ', printf('%.1f', profit), chr(10)), '' ORDER BY item) FROM pr)"""
 register("md5_checksum", lambda s, d: loader.list_files(s, _files(s, d)).select("file_type", "file_size", "checksum"), f"{FILES} SELECT file_type, CAST(strlen(body) AS BIGINT) AS file_size, md5(body) AS checksum FROM f")
 register("files_by_type", lambda s, d: loader.list_files(s, _files(s, d), "database").select("file_type", "file_size"), f"{FILES} SELECT file_type, CAST(strlen(body) AS BIGINT) AS file_size FROM f WHERE file_type = 'database'")
+
+
+def _catalogue(spark: SparkSession, d: str) -> FileCatalogue:
+    found = FileCatalogue(spark, new_path(spark, "catalogue"))
+    found.refresh(_files(spark, d))
+    return found
+
+
+@query("file_catalogue", f"{FILES} SELECT file_type, CAST(strlen(body) AS BIGINT) AS file_size, md5(body) AS checksum, 0 AS entered_again, true AS is_recent FROM f")
+def _file_catalogue(spark, d):
+    """All entries, found by their names; a second refresh enters nothing."""
+    folder, found = _files(spark, d), FileCatalogue(spark, new_path(spark, "catalogue"))
+    found.refresh(folder)
+    again = found.refresh(folder)
+    recent = found.files(after="2020-01-01").select("file_path", F.lit(True).alias("is_recent"))
+    return found.files().join(recent, "file_path").select("file_type", "file_size", "checksum", F.lit(again).alias("entered_again"), "is_recent")
+
+
+@query("files_after_delete", f"{FILES} SELECT file_type, md5(body) AS checksum FROM f WHERE file_type = 'profit'")
+def _files_after_delete(spark, d):
+    found = _catalogue(spark, d)
+    found.delete(found.files(file_type="database").first()["file_name"])
+    return found.files().select("file_type", "checksum")
+
+
+@query("streamed_items", f"WITH {BASKETS}, {SINGLES} SELECT item, CAST(rtwu AS DOUBLE) AS rtwu, round(eu, 4) AS expected_utility, round(ep, 6) AS probability, n AS support FROM s1")
+def _streamed_items(spark, d):
+    """The baskets as a stream of files, a batch for each, the first two of them compacted."""
+    tx = baskets.transactions(spark, d)
+    source, state = new_path(spark, "stream"), IncrementalState(spark, new_path(spark, "state"))
+    tx.select(*[F.col(c).cast(t).alias(c) for c, t in (x.split() for x in incremental.TX.split(", "))]).repartition(4, "tid").write.parquet(source)
+    stream = spark.readStream.schema(incremental.TX).option("maxFilesPerTrigger", 1).parquet(source)
+    profit = baskets.profits(tx)
+    state.start(stream, profit, new_path(spark, "checkpoint")).awaitTermination()
+    state.compact(1)
+    return state.items().select("item", "rtwu", _r4("expected_utility"), F.round("probability", 6).alias("probability"), "support")
+
+
 register("zipf_cdf", lambda s, d: generator.zipf_cdf(s, 100).select("item", F.round("cdf", 9).alias("cdf")), "WITH m AS (SELECT CAST(range AS INT) AS item, 1 / pow(range, 1.5) AS w FROM range(1, 101)) SELECT item, round(sum(w) OVER (ORDER BY item) / sum(w) OVER (), 9) AS cdf FROM m")
 
 
@@ -228,7 +269,11 @@ BRACES = "'{' || array_to_string(items, ', ') || '}'"
 register("export_csv", lambda s, d: sinks.csv_rows(_top(s, d)), f"{TOP} CAST(rank AS INT) AS Rank, {BRACES} AS Itemset, printf('%.6f', eu) AS Utility, printf('%.6f', ep) AS Probability, n AS Support FROM top")
 register("export_text", lambda s, d: sinks.text_lines(_top(s, d)), f"{TOP} CAST(rank AS INT) AS rank, printf('%d. ', rank) || {BRACES} || printf(' EU=%.4f P=%.4f S=%d', eu, ep, n) AS line FROM top")
 register("export_json", lambda s, d: sinks.json_rows(_top(s, d)).select("rank", F.get_json_object("value", "$.items").alias("items"), F.get_json_object("value", "$.support").cast("long").alias("support")), f"{TOP} CAST(rank AS INT) AS rank, '[' || array_to_string(items, ',') || ']' AS items, n AS support FROM top")
-register("console_table", lambda s, d: sinks.console_lines(_top(s, d)), f"{TOP} CAST(rank AS INT) AS rank, printf('| %4d | %-30s | %14.4f | %9.6f | %7d |', rank, CASE WHEN length({BRACES}) > 30 THEN ({BRACES})[1 : 27] || '...' ELSE {BRACES} END, eu, ep, n) AS line FROM top")
+CONSOLE_SQL = f"""CAST(rank AS INT) AS rank, printf('%-5d %-30s %12.4f %12.4f %8d', rank, CASE WHEN length({BRACES}) > 30 THEN ({BRACES})[1 : 27] || '...' ELSE {BRACES} END, eu, ep, n) AS line FROM top
+UNION ALL SELECT -1, printf('%-5s %-30s %12s %12s %8s', 'Rank', 'Itemset', 'Utility', 'Probability', 'Support') UNION ALL SELECT 0, repeat('-', 70)"""
+register("console_table", lambda s, d: sinks.console_lines(_top(s, d)), f"{TOP} {CONSOLE_SQL}")
+register("console_configuration", lambda s, d: sinks.console_configuration(_pair(s, d)[0], K, MIN_PROB, F.to_timestamp(F.lit("2024-01-02 03:04:05"))).filter("at in (1, 3, 4, 5, 6, 9)"), f"""WITH {BASKETS}, c AS (SELECT count(DISTINCT tid) AS t, count(DISTINCT item) AS i FROM b)
+SELECT CAST(unnest([1, 3, 4, 5, 6, 9]) AS INT) AS at, unnest([repeat(' ', 30) || 'MINING CONFIGURATION', format('Database Size:        {{:,}} transactions', t), format('Number of Items:      {{:,}} items', i), 'Top-K Target:         20 itemsets', 'Min Probability:      0.9000', 'Start Time:           2024-01-02 03:04:05']) AS line FROM c""")
 
 
 @query("export_json_document", f"{TOP} CAST(count(*) AS INT) AS n, array_to_string(list(items ORDER BY rank)[1], ',') AS first_items, '2024-01-02T03:04:05' AS timestamp, true AS has_statistics FROM top")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.columns import DEFAULT_PROBABILITY
 from quarry.plans.staging import drop_path
+from quarry.sources.files import hashed, listed
 
 #: File formats by suffix.
 FORMATS = {"txt": "text", "csv": "csv", "json": "json", "bin": "binary"}
@@ -131,15 +132,15 @@ def dataset_metadata(tx: DataFrame) -> DataFrame:
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
-    """file_name, file_path, file_size, checksum (MD5) of the files below a path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.regexp_extract("path", "[^/]*$", 0).alias("file_name"), F.col("path").alias("file_path"), F.col("length").alias("file_size"), F.md5("content").alias("checksum"))
+    """file_name, file_path, file_size, file_type, checksum (MD5, read in pieces) of the files below a path."""
+    return hashed(listed(spark, path)).select("file_name", "file_path", "file_size", "file_type", "checksum")
 
 
 def list_files(spark: SparkSession, path: str, file_type: str | None = None) -> DataFrame:
-    """``checksums`` with ``file_type`` (the folder they lie in), of one type or all."""
-    found = checksums(spark, path).filter(~F.startswith("file_name", F.lit("_"))).withColumn("file_type", F.element_at(F.split("file_path", "/"), -2))
-    return found if file_type is None else found.filter(F.col("file_type") == file_type)
+    """``checksums`` of the files of one type (the folder they lie in) or of all."""
+    found = listed(spark, path)
+    found = found if file_type is None else found.filter(F.col("file_type") == file_type)
+    return hashed(found).select("file_name", "file_path", "file_size", "file_type", "checksum")
 
 
 def delete_files(spark: SparkSession, path: str) -> None:

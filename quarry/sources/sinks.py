@@ -37,10 +37,31 @@ def json_document(topk: DataFrame, statistics: list[dict], timestamp: Column) ->
     return sets.select(F.concat(*parts).alias("value"))
 
 
+#: The widths, rules and labels of the console tables.
+CONSOLE_HEAD, CONSOLE_ROW, CONSOLE_RULE = "%-5s %-30s %12s %12s %8s", "%-5d %-30s %12.4f %12.4f %8d", "-" * 70
+CONSOLE_NAMES = ("Rank", "Itemset", "Utility", "Probability", "Support")
+CONSOLE_NONE = "No itemsets found meeting the criteria."
+CONSOLE_BAR, CONSOLE_TITLE = "=" * 80, "MINING CONFIGURATION"
+CONSOLE_LABELS = {"transactions": "Database Size:        %,d transactions", "items": "Number of Items:      %,d items", "k": "Top-K Target:         %d itemsets", "min_prob": "Min Probability:      %.4f", "memory_mb": "Available Memory:     %,d MB", "threads": "Thread Pool Size:     %d threads", "start": "Start Time:           %s"}
+
+
 def console_lines(topk: DataFrame) -> DataFrame:
-    """rank, line: the rows of a console table, itemsets cut at 30 characters."""
-    line = F.format_string("| %4d | %-30s | %14.4f | %9.6f | %7d |", "rank", truncated(braces(F.col("items")), 30), "expected_utility", "probability", "support")
-    return ranked(topk).select("rank", line.alias("line"))
+    """rank, line: a console table; its header has rank -1, the rule below it 0, itemsets are cut at 30 characters."""
+    rows = ranked(topk).select("rank", F.format_string(CONSOLE_ROW, "rank", truncated(braces(F.col("items")), 30), "expected_utility", "probability", "support").alias("line"))
+    head = [(-1, CONSOLE_HEAD % CONSOLE_NAMES), (0, CONSOLE_RULE)]
+    front = topk.agg(F.count("*").alias("n")).select(F.explode(F.when(F.col("n") > 0, F.array(*[F.struct(F.lit(k).alias("rank"), F.lit(x).alias("line")) for k, x in head])).otherwise(F.array(F.struct(F.lit(0).alias("rank"), F.lit(CONSOLE_NONE).alias("line"))))).alias("x"))
+    return front.select("x.*").unionByName(rows)
+
+
+def console_configuration(tx: DataFrame, k: int, min_prob: float, start: Column) -> DataFrame:
+    """at, line: what a search is asked for, with the sizes of its transactions and of the session."""
+    context = tx.sparkSession.sparkContext
+    memory = context._jvm.java.lang.Runtime.getRuntime().maxMemory() // (1 << 20)
+    sizes = tx.agg(F.countDistinct("tid").alias("transactions"), F.countDistinct("item").alias("items"))
+    values = {"transactions": F.col("transactions"), "items": F.col("items"), "k": F.lit(k), "min_prob": F.lit(float(min_prob)), "memory_mb": F.lit(memory), "threads": F.lit(context.defaultParallelism), "start": F.date_format(start, "yyyy-MM-dd HH:mm:ss")}
+    title = " " * ((len(CONSOLE_BAR) - len(CONSOLE_TITLE)) // 2) + CONSOLE_TITLE
+    lines = [F.lit(CONSOLE_BAR), F.lit(title), F.lit(CONSOLE_BAR), *[F.format_string(f, values[c]) for c, f in CONSOLE_LABELS.items()], F.lit(CONSOLE_BAR)]
+    return sizes.select(F.posexplode(F.array(*lines)).alias("at", "line"))
 
 
 def export(topk: DataFrame, path: str, kind: str) -> None:

@@ -280,3 +280,32 @@ def test_lines_are_numbered_in_file_order_without_a_shuffle(spark, tmp_path, mon
         assert [r["line"] for r in sorted(loader.numbered_lines(spark, str(tmp_path)).collect())] == want
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_file_catalogue_reads_new_files_alone(spark, tmp_path, monkeypatch):
+    from quarry.sources import files
+
+    folder = tmp_path / "data"
+    for kind, name, text in (("database", "a b.txt", "1:2:0.5\n"), ("profit", "p.txt", "1 2\n"), ("profit", "_hidden", "x")):
+        (folder / kind).mkdir(parents=True, exist_ok=True)
+        (folder / kind / name).write_text(text)
+    found = files.FileCatalogue(spark, str(tmp_path / "catalogue"))
+    assert found.files().count() == 0 and found.refresh(str(folder)) == 2 and found.refresh(str(folder)) == 0
+    of = lambda **x: {(r["file_type"], r["file_name"], r["file_size"], r["checksum"]) for r in found.files(**x).collect()}
+    want = {("database", "a b.txt", 8, hashlib.md5(b"1:2:0.5\n").hexdigest()), ("profit", "p.txt", 4, hashlib.md5(b"1 2\n").hexdigest())}
+    assert of() == want and {x[1] for x in of(file_type="profit")} == {"p.txt"} and of(name="a b.txt") == want - of(file_type="profit")
+    assert of(after="2001-01-01") == want and of(after="2999-01-01") == set()
+    (folder / "profit" / "p.txt").write_text("1 2\n3 4\n")
+    assert found.refresh(str(folder)) == 1 and ("profit", "p.txt", 8, hashlib.md5(b"1 2\n3 4\n").hexdigest()) in of() and len(of()) == 2
+    assert found.delete("p.txt") == 1 and found.delete("p.txt") == 0
+    assert {x[1] for x in of()} == {"a b.txt"} and not (folder / "profit" / "p.txt").exists() and found.refresh(str(folder)) == 0
+
+
+def test_console(spark):
+    top = mining.mine_topk(*frames(spark, SAMPLE, SAMPLE_PROFIT), 3, 0.3)
+    lines = [r["line"] for r in sinks.console_lines(top).orderBy("rank").collect()]
+    assert lines[1] == "-" * 70 and lines[0].split() == ["Rank", "Itemset", "Utility", "Probability", "Support"] and len(lines) == 5
+    assert lines[2].split() == ["1", "{2}", "49.3500", "0.7246", "4"] and {len(x) for x in lines[2:]} == {len(lines[0])}
+    assert [r["line"] for r in sinks.console_lines(top.limit(0)).collect()] == ["No itemsets found meeting the criteria."]
+    shown = [r["line"] for r in sinks.console_configuration(frames(spark, SAMPLE, SAMPLE_PROFIT)[0], 3, 0.3, F.to_timestamp(F.lit("2024-01-02 03:04:05"))).orderBy("at").collect()]
+    assert len(shown) == 11 and shown[0] == "=" * 80 and shown[3].endswith(" 5 transactions") and shown[4].endswith(" 5 items")
