@@ -58,7 +58,7 @@ def assign_shards(df: DataFrame, n_shards: int = N_SHARDS, id_col: str = "doc_id
 
 def write_shards(placed: DataFrame, path: str | None = None) -> str:
     """Write the result of ``assign_shards`` as one folder for each shard, rows in order of their slots."""
-    path = path or new_path(placed.sparkSession, "shard-files")
+    path = path or new_path(placed.sparkSession, "shard-files", lasting=True)
     placed.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     return path
 

@@ -237,7 +237,7 @@ def fetch_record(index_row) -> tuple[dict[str, str], bytes]:
 
 def archive(pages: DataFrame, folder: str | None = None, frame_bytes: int = FRAME_BYTES, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Write ``pages`` as bundles below ``folder`` and return the index."""
-    return write_bundles(with_revisits(pages, min_bytes), folder or new_path(pages.sparkSession, "warc"), frame_bytes)
+    return write_bundles(with_revisits(pages, min_bytes), folder or new_path(pages.sparkSession, "warc", lasting=True), frame_bytes)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,3 +97,12 @@ def test_null_and_repeated_ids(spark, tmp_path):
     assert mixed.columns == docs.columns and max(Counter(map(tuple, mixed.collect())).values()) <= 4
     placed = stages["shard"](spark, docs, folder).collect()
     assert len(placed) == 7 and len({(r["shard"], r["slot"]) for r in placed}) == 7
+
+
+def test_registered_queries_keep_what_their_results_read(spark):
+    """A query deletes its own tables when it returns; its result must not need them, read by Spark or by tasks themselves."""
+    from quarry.llm.queries import QUERIES
+
+    for name in sorted(QUERIES):
+        rows = QUERIES[name](spark, "/root/testdata/sf0.001").count()
+        assert rows > 0, name
