@@ -53,7 +53,7 @@ def assign_shards(df: DataFrame, n_shards: int = N_SHARDS, id_col: str = "doc_id
     rows = located(df)
     slim = stage(rows.select(*[F.col("row")[c].alias(f"_k{k}") for k, c in enumerate(names)], F.col("row")[size_col].cast("long").alias("_size"), "_file", "_at"), "shard-sizes")
     found = stage(places(slim, [*order, "_file", "_at"], n_shards).select("_file", "_at", "shard", "slot"), "shard-places")
-    return rows.join(found.hint("shuffle_hash"), ["_file", "_at"]).select("row", "shard", "slot")  # a place for each row: never broadcast
+    return rows.join(found.hint("merge"), ["_file", "_at"]).select("row", "shard", "slot")  # a place for each row: never broadcast
 
 
 def write_shards(placed: DataFrame, path: str | None = None) -> str:

@@ -137,7 +137,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     kept = near_duplicates(docs, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).agg(F.count("*").alias("n"))
     kept = stage(kept, "simhash-kept")
-    leaders = docs.join(kept.select(id_col).hint("shuffle_hash"), id_col, "left_semi")  # a row for each document: never broadcast
+    leaders = docs.join(kept.select(id_col).hint("merge"), id_col, "left_semi")  # a row for each document: never broadcast
     if not kept.filter("n > 1").isEmpty():
         repeated = kept.filter("n > 1").select(id_col)
         leaders = leaders.join(repeated, id_col, "left_anti").unionByName(leaders.join(repeated, id_col, "left_semi").dropDuplicates([id_col]))
