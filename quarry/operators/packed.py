@@ -28,6 +28,8 @@ SINGLES = "item int, eu double, slp double, n long, bound double, weight double,
 PAIRS = "item_a int, item_b int, eu double, slp double, n long, bound double, weight double, dropped long"
 #: Pairs worked on at a time, and the most cells of a table of sums that is kept for a whole task.
 CHUNK, CELLS = 1 << 17, 1 << 20
+#: List elements of transactions worked on at a time.
+ELEMENTS = 1 << 18
 
 
 def lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -118,6 +120,17 @@ class Items:
         return order[np.minimum(np.searchsorted(self.item[order], items), len(order) - 1)] if len(order) else items
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about ``ELEMENTS`` list elements, as transactions may be long; a row stays whole."""
+    for batch in batches:
+        upto = np.cumsum(batch.column(2).value_lengths().to_numpy().astype(np.int64))
+        low = 0
+        while low < batch.num_rows:
+            high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + ELEMENTS, "right")))
+            yield batch.slice(low, high - low)
+            low = high
+
+
 class Block:
     """The living items of some transactions, flat and by ascending rank, with what comes later in each."""
 
@@ -160,7 +173,7 @@ def single_sums(packs: DataFrame, items: Items) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = len(items.item)
         out = np.zeros((6, m))
-        for batch in batches:
+        for batch in pieces(batches):
             b = Block(batch, items)
             for k, x in enumerate((b.u * b.p, b.lp, None, growth(b.u, b.p, b.rem, b.rem_p, b.p_max), b.rtu * b.p)):
                 out[k] += np.bincount(b.rank, x, m)
@@ -196,7 +209,7 @@ def pair_sums(packs: DataFrame, items: Items, path: bool) -> DataFrame:
             whole = (2, 5)
             return pa.RecordBatch.from_arrays([pa.array(items.item[live[keys // m]].astype(np.int32)), pa.array(items.item[live[keys % m]].astype(np.int32)), *[pa.array(x.astype(np.int64) if k in whole else x) for k, x in enumerate(sums)]], ["item_a", "item_b", "eu", "slp", "n", "bound", "weight", "dropped"])
 
-        for batch in batches:
+        for batch in pieces(batches):
             b = Block(batch, items)
             total = np.bincount(b.owner, np.maximum(b.u, 0))[b.owner] if len(b.owner) else b.u
             cell = place[b.rank]
@@ -234,7 +247,7 @@ def root_rows(packs: DataFrame, items: Items, classes: np.ndarray, live: np.ndar
     keys (rank of the root * items + rank) of the pairs that a result may hold."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = len(items.item)
-        for batch in batches:
+        for batch in pieces(batches):
             b = Block(batch, items)
             for i, j in pairs_of(b, classes >= 0):
                 key = b.rank[i] * m + b.rank[j]

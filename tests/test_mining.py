@@ -129,3 +129,14 @@ def test_what_comes_later():
 
 def test_threshold_leaves_room_for_rounding():
     assert depth.reaches(100.0 - 1e-8, 100.0) and not depth.reaches(99.99, 100.0) and depth.reaches(0.0, 0.0)
+
+
+def test_pieces_keep_rows_whole(monkeypatch):
+    sizes = [5, 1, 4, 0, 6, 9]
+    flat = np.arange(sum(sizes), dtype=np.int32)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(6)), pa.array(np.ones(6)), packed.lists(flat, np.concatenate(([0], np.cumsum(sizes))), pa.int32())], ["tid", "rtu", "items"])
+    for limit, most in ((1, 6), (6, 5), (1000, 1)):
+        monkeypatch.setattr(packed, "ELEMENTS", limit)
+        parts = list(packed.pieces([batch]))
+        assert sum(x.num_rows for x in parts) == 6 and [v for x in parts for v in x.column(2).flatten().to_pylist()] == flat.tolist()
+        assert all(x.num_rows == 1 or len(x.column(2).flatten()) <= limit for x in parts) and len(parts) <= most
