@@ -4,11 +4,12 @@ Patterns find the protected entities (e-mail, IP, card, phone). A term that
 occurs mostly where a kind of entity does reveals that kind: its pointwise
 mutual information with the kind, as a share of the kind's own information,
 is its disclosure. The share uses the lower end of Wilson's interval for
-P(kind | term), so few observations never count as certainty and the rule is
-the same at every corpus size. Terms are counted map-side before they are
-shuffled, so a frequent word is a row for each task. In texts that hold an entity of the kind, terms
-at ``GENERALISE`` or more are generalised and those at ``REMOVE`` or more are
-removed; other texts stay as they are.
+P(kind | term), so few observations never count as certainty; its quantile is
+corrected for the number of terms and kinds tested, so chance terms do not grow
+with the corpus. Terms are counted map-side before they are shuffled, so a
+frequent word is a row for each task. Terms at ``GENERALISE`` or more are
+generalised and those at ``REMOVE`` or more are removed, in every text or, if
+asked for, only in texts that hold an entity of the kind.
 
 Everything is SQL functions. Positions are counted in code points, from the
 pieces between matches and a prefix sum in blocks, so many matches stay cheap.
@@ -18,8 +19,10 @@ runs of digits or letters cost linear time.
 Counts are over different texts: a term's joint count is the number of those
 that hold both, its total that of those that hold it, a kind's rate its share of
 them. Copies of a text so add nothing to the evidence, and each text is worked
-on once. A term counts only outside the entities of a text: the pieces of an
-e-mail address reveal nothing that the address does not.
+on once. Nor do near copies: a term must also hold when texts that share the
+smallest hash of their five-word shingles are one piece of evidence, under each
+of four hashes. A term counts only outside the entities of a text: the pieces of
+an e-mail address reveal nothing that the address does not.
 
 Defined cases: null text is empty, null ids and repeated rows are reported row
 by row, an empty table gives no rows, extra columns are ignored.
@@ -27,7 +30,10 @@ by row, an empty table gives no rows, extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+from statistics import NormalDist
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.text import full_text, let, sha256_hex
@@ -46,7 +52,11 @@ PATTERNS = (
 #: What a text must hold for the pattern to be tried at all.
 HINTS = ("@", "[0-9]\\.[0-9]", "(?:[0-9][\\x20-]?){14}", "\\+[0-9]")
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
-GENERALISE, REMOVE, Z = 0.8, 0.9, 1.96
+GENERALISE, REMOVE = 0.8, 0.9
+#: Chance that any term of the corpus is taken to disclose by luck alone.
+ERROR = 0.05
+#: Words of a shingle, and minima by which texts are classed as near copies.
+SHINGLE, CLASSINGS = 5, 4
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 STEP = 256
 
@@ -146,28 +156,68 @@ def outside(text: Column, base: Column) -> Column:
     return F.when(F.size(base) == 0, text).otherwise(blanked)
 
 
-def disclosing_terms(entities: DataFrame, least: float = GENERALISE) -> DataFrame:
-    """(term, kind, joint, total, disclosure) of the terms at ``least`` or more."""
-    n = entities.agg(F.count("*").alias("n"), *[F.count_if(F.exists("base", _is(k))).alias(f"k{k}") for k in range(len(KINDS))]).first()
-    words = entities.select(F.array_distinct(F.transform("base", lambda x: x["kind"])).alias("kinds"), F.explode(terms(outside(F.col("text"), F.col("base")))).alias("term"))
-    sums = words.groupBy("term").agg(F.count("*").alias("total"), *[F.count_if(F.array_contains("kinds", k)).alias(f"j{k}") for k in range(len(KINDS))])
-    by_kind = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"j{k}").alias("joint"), F.lit(n[f"k{k}"] / n["n"] if n["n"] else 0.0).alias("rate")) for k in range(len(KINDS))]))
-    scored = sums.select("term", "total", by_kind.alias("x")).select("term", "total", "x.*").filter("joint > 0 and rate > 0 and rate < 1")
+def neighbourhoods(text: Column) -> Column:
+    """``CLASSINGS`` minima over the hashes of a text's shingles: near copies agree in most of them."""
+    lowered = F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda x: F.length(x) > 0)
+    codes = lambda w: F.when(F.size(w) <= SHINGLE, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(SHINGLE)])))
+    smallest = lambda c, k: F.array_min(F.transform(c, lambda x: F.xxhash64(F.lit(k), x)))
+    return let(let(lowered, codes), lambda c: F.array(*[smallest(c, k) for k in range(CLASSINGS)]))
+
+
+def corrected_z(tested: int, error: float = ERROR) -> float:
+    """Quantile at which one of ``tested`` bounds fails with a chance of at most ``error`` (Bonferroni)."""
+    return -NormalDist().inv_cdf(error / max(1, tested))
+
+
+def disclosures(sums: DataFrame, whole: Row, z: float) -> DataFrame:
+    """A row for each kind of ``sums`` (total, j0, j1, ...) with its disclosure at quantile ``z``; ``whole``: the same of all texts (n, k0, k1, ...)."""
+    rates = [whole[f"k{k}"] / whole["n"] if whole["n"] else 0.0 for k in range(len(KINDS))]
+    by_kind = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"j{k}").alias("joint"), F.lit(rates[k]).alias("rate")) for k in range(len(KINDS))]))
+    kept = [c for c in sums.columns if c not in {f"j{k}" for k in range(len(KINDS))}]
+    scored = sums.select(*kept, by_kind.alias("x")).select(*kept, "x.*").filter("joint > 0 and rate > 0 and rate < 1")
     share = F.col("joint") / F.col("total")
-    low = (share + Z * Z / (2 * F.col("total")) - Z * F.sqrt(share * (1 - share) / F.col("total") + Z * Z / (4 * F.col("total") * F.col("total")))) / (1 + Z * Z / F.col("total"))
-    return scored.withColumn("disclosure", F.log2(low / F.col("rate")) / -F.log2("rate")).filter(F.col("disclosure") >= least).select("term", "kind", "joint", "total", "disclosure")
+    low = (share + z * z / (2 * F.col("total")) - z * F.sqrt(share * (1 - share) / F.col("total") + z * z / (4 * F.col("total") * F.col("total")))) / (1 + z * z / F.col("total"))
+    return scored.withColumn("disclosure", F.log2(low / F.col("rate")) / -F.log2("rate")).drop("rate")
 
 
-def with_terms(entities: DataFrame, disclosing: DataFrame) -> DataFrame:
-    """(k1, k2, text, base, added) of the texts with entities; ``added``: (start, kind, end, removed) of revealing terms beside them."""
-    rows = entities.filter(F.size("base") > 0)
+def disclosing_terms(entities: DataFrame, least: float = GENERALISE) -> DataFrame:
+    """(term, kind, joint, total, disclosure) of the terms at ``least`` or more.
+
+    A term must reach ``least`` when texts are counted, and again under each of
+    ``CLASSINGS`` classings of the texts by a shared minimum, where a class is one
+    piece of evidence; its disclosure is the least of these.
+    """
+    n = entities.agg(F.count("*").alias("n"), *[F.count_if(F.exists("base", _is(k))).alias(f"k{k}") for k in range(len(KINDS))]).first()
+    kinds = F.array_distinct(F.transform("base", lambda x: x["kind"])).alias("kinds")
+    bare = outside(F.col("text"), F.col("base"))
+    words = entities.select(kinds, F.explode(terms(bare)).alias("term"))
+    sums = stage(words.groupBy("term").agg(F.count("*").alias("total"), *[F.count_if(F.array_contains("kinds", k)).alias(f"j{k}") for k in range(len(KINDS))]), "pii-terms")
+    z = corrected_z(sums.count() * sum(0 < n[f"k{k}"] < n["n"] for k in range(len(KINDS))))
+    plain = stage(disclosures(sums, n, z).filter(F.col("disclosure") >= least).select("term", "kind", "joint", "total", "disclosure"), "pii-plain")
+    texts = entities.select(kinds, bare.alias("bare")).select("kinds", neighbourhoods(F.col("bare")).alias("near"), F.explode(terms(F.col("bare"))).alias("term"))
+    met = texts.join(plain.select("term").distinct(), "term", "left_semi").select("term", "kinds", F.posexplode("near").alias("classing", "near"))
+    classes = met.groupBy("term", "classing", "near").agg(*[F.max(F.array_contains("kinds", k).cast("long")).alias(f"j{k}") for k in range(len(KINDS))])
+    counted = classes.groupBy("term", "classing").agg(F.count("*").alias("total"), *[F.sum(f"j{k}").alias(f"j{k}") for k in range(len(KINDS))])
+    least_of = disclosures(counted, n, z).groupBy("term", "kind").agg(F.min("disclosure").alias("classed"))
+    both = plain.join(least_of, ["term", "kind"]).withColumn("disclosure", F.least("disclosure", "classed"))
+    return both.filter(F.col("disclosure") >= least).select("term", "kind", "joint", "total", "disclosure")
+
+
+def with_terms(entities: DataFrame, disclosing: DataFrame, everywhere: bool = True) -> DataFrame:
+    """(k1, k2, text, base, added) of the texts with findings; ``added``: (start, kind, end, removed) of revealing terms outside the entities.
+
+    Unless ``everywhere``, a term counts only in texts with an entity of a kind it discloses.
+    """
     apart = lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    tokens = rows.select("k1", "k2", F.array_distinct(F.transform("base", lambda x: x["kind"])).alias("kinds"), F.explode(F.filter(located(F.col("text"), "[\\p{L}\\p{N}]+"), lambda t: (F.length(t["found"]) > 1) & apart(t))).alias("t"))
-    met = tokens.select("k1", "k2", "kinds", "t.start", "t.end", F.lower("t.found").alias("term")).join(disclosing, "term").filter(F.array_contains("kinds", F.col("kind")))
+    tokens = entities.select("k1", "k2", F.array_distinct(F.transform("base", lambda x: x["kind"])).alias("kinds"), F.explode(F.filter(located(F.col("text"), "[\\p{L}\\p{N}]+"), lambda t: (F.length(t["found"]) > 1) & apart(t))).alias("t"))
+    met = tokens.select("k1", "k2", "kinds", "t.start", "t.end", F.lower("t.found").alias("term")).join(disclosing, "term")
+    if not everywhere:
+        met = met.filter(F.array_contains("kinds", F.col("kind")))
     spans = met.groupBy("k1", "k2", "start", "end").agg(F.max("disclosure").alias("d"))
     added = spans.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("start", F.lit(TERM).alias("kind"), "end", (F.col("d") >= REMOVE).alias("removed")))).alias("added"))  # of one text
     none = F.array().cast("array<struct<start:int,kind:int,end:int,removed:boolean>>")
-    return rows.join(added, ["k1", "k2"], "left").withColumn("added", F.coalesce("added", none))
+    rows = entities.join(stage(added, "pii-added"), ["k1", "k2"], "left")
+    return rows.filter((F.size("base") > 0) | F.col("added").isNotNull()).withColumn("added", F.coalesce("added", none))
 
 
 def redacted(text: Column, base: Column, added: Column) -> Column:
@@ -179,22 +229,27 @@ def redacted(text: Column, base: Column, added: Column) -> Column:
     return F.aggregate(all_spans, zero, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
 
 
-def sanitise(docs: DataFrame) -> DataFrame:
-    """(doc_id, base, added, clean) of every row: the entities, the revealing terms and the redacted text.
-
-    ``clean`` is null where the text holds no entity and so stays as it is.
-    """
+def findings(docs: DataFrame, clean: Callable[[Column], Column], everywhere: bool = True) -> DataFrame:
+    """(doc_id, base, added, clean) of every row; ``clean`` is applied to the redacted text, null where nothing was found."""
     entities = with_entities(docs)
-    marked = with_terms(entities, stage(disclosing_terms(entities), "pii-disclosing"))
-    found = stage(marked.select("k1", "k2", "base", "added", redacted(F.col("text"), F.col("base"), F.col("added")).alias("clean")), "pii-found")
+    marked = with_terms(entities, stage(disclosing_terms(entities), "pii-disclosing"), everywhere)
+    found = stage(marked.select("k1", "k2", "base", "added", clean(redacted(F.col("text"), F.col("base"), F.col("added"))).alias("clean")), "pii-found")
     rows = docs.select("doc_id", *text_keys(full_text(F.col("text")))).join(found, ["k1", "k2"], "left")
     none = lambda c: F.coalesce(c, F.array().cast(found.schema[c].dataType))
     return rows.select("doc_id", none("base").alias("base"), none("added").alias("added"), "clean")
 
 
+def sanitise(docs: DataFrame, everywhere: bool = True) -> DataFrame:
+    """(doc_id, base, added, clean) of every row: the entities, the revealing terms and the redacted text.
+
+    ``clean`` is null where nothing was found, so that the text stays as it is.
+    """
+    return findings(docs, lambda text: text, everywhere)
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with their personal data and the terms that reveal it."""
-    found = sanitise(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """All documents with their personal data, the terms that reveal it, and the redacted text's digest (null where nothing was found)."""
+    found = findings(spark.read.parquet(f"{sf_dir}/documents.parquet"), sha256_hex)
     counts = [F.size(F.filter("base", _is(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
     spans = F.sort_array(F.concat("base", F.transform("added", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))))
-    return found.select("doc_id", *counts, sha256_hex(span_text(F.col("base"))).alias("base_sha256"), span_text(spans).alias("spans"))
+    return found.select("doc_id", *counts, sha256_hex(span_text(F.col("base"))).alias("base_sha256"), span_text(spans).alias("spans"), F.col("clean").alias("clean_sha256"))

@@ -4,11 +4,14 @@ import hashlib
 import math
 import random
 import re
+import struct
 from collections import Counter
 from decimal import Decimal
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, factorisation, mixing, pii, rules, sharding, substrings, tokens, warc
@@ -52,63 +55,96 @@ def test_pii_base_spans(spark):
 
 
 def revealing(seed=3):
-    """Texts in which some words come with an e-mail address most of the time, copies among them."""
+    """Texts in which some words come with an e-mail address most of the time, copies and near copies among them."""
     rng = random.Random(seed)
-    rows = [f"plain words number {chr(97 + i % 26)}{chr(97 + i // 26)}x {rng.choice(['ward', 'desk', 'door'])} here" for i in range(500)]
-    for i in range(40):
-        rows.append(f"{'patient' if i % 8 else 'ward'} case {i % 3}k9 zyx{chr(97 + i % 26)} of me{i}@mail.example.com at 10.0.{i}.7" if i % 3 else f"patient of me{i}@mail.example.com")
-    return rows + ["patient without any"] + ["", " - "]
+    vocabulary = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    some = lambda: " ".join(rng.choices(vocabulary, k=7))
+    rows = [f"{some()} {rng.choice(['ward', 'desk', 'door'])} here" for i in range(900)]
+    for i in range(120):
+        rows.append(f"{some()} {'patient' if i % 8 else 'ward'} case {i % 3}k9 {some()} of me{i}@mail.example.com" + (f" at 10.0.{i}.7" if i % 3 else ""))
+    rows += [f"dear reader this letter tells what our archive keeps please answer me{i}@mail.example.com soon" for i in range(60)]
+    return rows + ["patient without any"] + ["", " - "] + rows[-70:-50]
 
 
 def disclosed(texts):
-    """(term, kind) to disclosure, in plain Python over the different texts."""
+    """(term, kind) to disclosure, in plain Python over the different texts and over their classes."""
     patterns = {0: r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", 1: r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"}
+
+    def minima(bare):
+        every = [w.lower().encode() for w in re.findall(r"[^\W_]+", bare)]
+        shingles = [every[i : i + 5] for i in range(len(every) - 4)] if len(every) > 5 else [[b" ".join(every)]]
+        codes = []
+        for shingle in shingles:
+            code = 42
+            for w in shingle:
+                code = xxhash.xxh64_intdigest(w, code)
+            codes.append(code)
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        return [min(signed(xxhash.xxh64_intdigest(struct.pack("<Q", c), xxhash.xxh64_intdigest(struct.pack("<i", k), 42))) for c in codes) for k in range(pii.CLASSINGS)]
+
     held = []
     for t in set(texts):
         kinds = {k for k, p in patterns.items() if re.search(p, t)}
         bare = re.sub(patterns[1], " ", re.sub(patterns[0], " ", t))
-        held.append((kinds, {w.lower() for w in re.findall(r"[^\W_]+", bare) if len(w) > 1}))
-    out, z = {}, pii.Z
+        held.append((kinds, {w.lower() for w in re.findall(r"[^\W_]+", bare) if len(w) > 1}, minima(bare)))
+    tests = len({w for _, ws, _ in held for w in ws}) * len(patterns)
+    out, z = {}, NormalDist().inv_cdf(1 - pii.ERROR / tests)
     for k in patterns:
-        rate = sum(k in kinds for kinds, _ in held) / len(held)
-        for term in {w for kinds, ws in held if k in kinds for w in ws}:
-            total = sum(term in ws for _, ws in held)
-            share = sum(term in ws and k in kinds for kinds, ws in held) / total
-            low = (share + z * z / (2 * total) - z * math.sqrt(share * (1 - share) / total + z * z / (4 * total * total))) / (1 + z * z / total)
-            out[(term, k)] = math.log2(low / rate) / -math.log2(rate)
-    return {x: d for x, d in out.items() if d >= pii.GENERALISE}
+        rate = sum(k in kinds for kinds, *_ in held) / len(held)
+        for term in {w for kinds, ws, _ in held if k in kinds for w in ws}:
+            least = math.inf
+            for classing in [None, *range(pii.CLASSINGS)]:
+                evidence = {}
+                for i, (kinds, ws, near) in enumerate(held):
+                    if term in ws:
+                        key = i if classing is None else near[classing]
+                        evidence[key] = evidence.get(key, False) or k in kinds
+                total, share = len(evidence), sum(evidence.values()) / len(evidence)
+                low = (share + z * z / (2 * total) - z * math.sqrt(share * (1 - share) / total + z * z / (4 * total * total))) / (1 + z * z / total)
+                least = min(least, math.log2(low / rate) / -math.log2(rate))
+            out[(term, k)] = least
+    return {x: d for x, d in out.items() if d >= 0.6}
 
 
 def test_pii_disclosure_matches_brute_force(spark):
     texts = revealing()
     want = disclosed(texts)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'x' AS base", "'y' AS k1")
-    got = {(r["term"], r["kind"]): r["disclosure"] for r in pii.disclosing_terms(pii.with_entities(docs)).collect()}
+    got = {(r["term"], r["kind"]): r["disclosure"] for r in pii.disclosing_terms(pii.with_entities(docs), 0.6).collect()}
     assert set(got) == set(want) and all(abs(got[x] - want[x]) < 1e-9 for x in want)
-    assert ("patient", 0) in want and not {t for t, _ in want} & {"com", "mail", "example", "ward"}
+    assert want[("patient", 0)] >= pii.GENERALISE and not {t for t, _ in want} & {"com", "mail", "example", "ward"}
+    assert not {t for t, _ in want} & {"dear", "reader", "letter", "archive"}  # one letter sent sixty times
 
 
 def test_pii_copies_do_not_change_the_verdict(spark):
     texts = revealing()
-    some = [t for t in texts if "patient" in t][:1]
+    some = [t for t in texts if "patient" in t and "@" in t][:1]
 
-    def verdict(rows):
+    def verdict(rows, everywhere=True):
         docs = spark.createDataFrame([(texts.index(t), t) for t in rows], "doc_id long, text string")
-        return {r["doc_id"]: (r["added"], r["clean"]) for r in pii.sanitise(docs).collect()}
+        return {r["doc_id"]: (r["added"], r["clean"]) for r in pii.sanitise(docs, everywhere).collect()}
 
     once, often = verdict(texts), verdict(texts + some * 60)
     assert once == often
-    where = texts.index(some[0])
+    where, bare = texts.index(some[0]), texts.index("patient without any")
     assert "patient" not in once[where][1] and "[EMAIL]" in once[where][1] and once[where][0]
     assert once[0] == ([], None)
     ward = next(i for i, t in enumerate(texts) if "ward case" in t)
     assert "ward" in once[ward][1]  # a word of other texts too
+    assert "patient" not in once[bare][1] and "without any" in once[bare][1]
+    narrow = verdict(texts, everywhere=False)
+    assert narrow[bare] == ([], None) and narrow[where] == once[where]
 
 
-def test_pii_interval_guards_few_texts(spark):
-    rows = [(i, f"plain words number {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}x here") for i in range(1000)] + [(2000, "qqterm and aay at 10.0.0.1"), (2001, "qqterm and bby at 10.0.0.2")]
-    found = {r["term"]: r for r in pii.disclosing_terms(pii.with_entities(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
-    assert found["qqterm"]["joint"] == 2 and "aay" not in found
+def test_pii_chance_terms_do_not_disclose(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(3000):
+        words = [f"t{rng.randrange(2000)}x" for _ in range(5)]  # about seven texts each
+        rows.append((i, " ".join(words) + (f" at 10.0.{i % 250}.{i // 250}" if i % 25 == 0 else "")))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert pii.disclosing_terms(pii.with_entities(frame)).filter("term <> 'at'").count() == 0
+    assert pii.corrected_z(1) < pii.corrected_z(1000) < pii.corrected_z(10**9) < 8
 
 
 def test_pii_edge_rows(spark):
