@@ -194,9 +194,11 @@ def disclosing_terms(entities: DataFrame, least: float = GENERALISE) -> DataFram
     sums = stage(words.groupBy("term").agg(F.count("*").alias("total"), *[F.count_if(F.array_contains("kinds", k)).alias(f"j{k}") for k in range(len(KINDS))]), "pii-terms")
     z = corrected_z(sums.count() * sum(0 < n[f"k{k}"] < n["n"] for k in range(len(KINDS))))
     plain = stage(disclosures(sums, n, z).filter(F.col("disclosure") >= least).select("term", "kind", "joint", "total", "disclosure"), "pii-plain")
-    texts = entities.select(kinds, bare.alias("bare")).select("kinds", neighbourhoods(F.col("bare")).alias("near"), terms(F.col("bare")).alias("terms"))
-    held = texts.select("kinds", "near", F.explode("terms").alias("term"))  # ``near`` is made for a text, not for each of its terms
-    met = held.join(plain.select("term").distinct(), "term", "left_semi").select("term", "kinds", F.posexplode("near").alias("classing", "near"))
+    every = entities.select("k1", "k2", kinds, F.explode(terms(bare)).alias("term"))
+    held = stage(every.join(plain.select("term").distinct(), "term", "left_semi"), "pii-held")
+    asked = stage(held.select("k1", "k2").distinct(), "pii-asked")  # its size is known, so texts move only where it is large
+    near = entities.join(asked, ["k1", "k2"], "left_semi").select("k1", "k2", bare.alias("bare")).select("k1", "k2", neighbourhoods(F.col("bare")).alias("near"))  # of these texts alone
+    met = held.join(near, ["k1", "k2"]).select("term", "kinds", F.posexplode("near").alias("classing", "near"))
     classes = met.groupBy("term", "classing", "near").agg(*[F.max(F.array_contains("kinds", k).cast("long")).alias(f"j{k}") for k in range(len(KINDS))])
     counted = classes.groupBy("term", "classing").agg(F.count("*").alias("total"), *[F.sum(f"j{k}").alias(f"j{k}") for k in range(len(KINDS))])
     least_of = disclosures(counted, n, z).groupBy("term", "kind").agg(F.min("disclosure").alias("classed"))
