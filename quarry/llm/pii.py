@@ -198,7 +198,8 @@ def disclosing_terms(entities: DataFrame, least: float = GENERALISE) -> DataFram
     held = stage(every.join(plain.select("term").distinct(), "term", "left_semi"), "pii-held")
     asked = stage(held.select("k1", "k2").distinct(), "pii-asked")  # its size is known, so texts move only where it is large
     near = entities.join(asked, ["k1", "k2"], "left_semi").select("k1", "k2", bare.alias("bare")).select("k1", "k2", neighbourhoods(F.col("bare")).alias("near"))  # of these texts alone
-    met = held.join(near, ["k1", "k2"]).select("term", "kinds", F.posexplode("near").alias("classing", "near"))
+    # outer, though never empty: else Spark adds a filter on the size of ``near`` and hashes every text below the semi-join to answer it
+    met = held.join(near, ["k1", "k2"]).select("term", "kinds", F.posexplode_outer("near").alias("classing", "near"))
     classes = met.groupBy("term", "classing", "near").agg(*[F.max(F.array_contains("kinds", k).cast("long")).alias(f"j{k}") for k in range(len(KINDS))])
     counted = classes.groupBy("term", "classing").agg(F.count("*").alias("total"), *[F.sum(f"j{k}").alias(f"j{k}") for k in range(len(KINDS))])
     least_of = disclosures(counted, n, z).groupBy("term", "kind").agg(F.min("disclosure").alias("classed"))
