@@ -181,7 +181,12 @@ def disclosures(sums: DataFrame, whole: Row, z: float) -> DataFrame:
 
 
 def disclosing_terms(entities: DataFrame, least: float = GENERALISE) -> DataFrame:
-    """(term, kind, joint, total, disclosure) of the terms at ``least`` or more.
+    """(term, kind, joint, total, disclosure) of the terms at ``least`` or more."""
+    return disclosing(entities, least)[0]
+
+
+def disclosing(entities: DataFrame, least: float = GENERALISE) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``disclosing_terms``, and staged (k1, k2, kinds, term): the texts that hold these terms outside their entities, others perhaps too.
 
     A term must reach ``least`` when texts are counted, and again under each of
     ``CLASSINGS`` classings of the texts by a shared minimum, where a class is one
@@ -204,16 +209,19 @@ def disclosing_terms(entities: DataFrame, least: float = GENERALISE) -> DataFram
     counted = classes.groupBy("term", "classing").agg(F.count("*").alias("total"), *[F.sum(f"j{k}").alias(f"j{k}") for k in range(len(KINDS))])
     least_of = disclosures(counted, n, z).groupBy("term", "kind").agg(F.min("disclosure").alias("classed"))
     both = plain.join(least_of, ["term", "kind"]).withColumn("disclosure", F.least("disclosure", "classed"))
-    return both.filter(F.col("disclosure") >= least).select("term", "kind", "joint", "total", "disclosure")
+    return both.filter(F.col("disclosure") >= least).select("term", "kind", "joint", "total", "disclosure"), held
 
 
-def with_terms(entities: DataFrame, disclosing: DataFrame, everywhere: bool = True) -> DataFrame:
+def with_terms(entities: DataFrame, disclosing: DataFrame, held: DataFrame, everywhere: bool = True) -> DataFrame:
     """(k1, k2, text, base, added) of the texts with findings; ``added``: (start, kind, end, removed) of revealing terms outside the entities.
 
-    Unless ``everywhere``, a term counts only in texts with an entity of a kind it discloses.
+    ``held`` (k1, k2, term) names the texts in which terms are looked for: a term that touches no
+    entity is one of the text without them, so no other text can hold it. Unless
+    ``everywhere``, a term counts only in texts with an entity of a kind it discloses.
     """
+    asked = stage(held.join(disclosing.select("term").distinct(), "term", "left_semi").select("k1", "k2").distinct(), "pii-holders")  # its size is known, so texts move only where it is large
     apart = lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    tokens = entities.select("k1", "k2", F.array_distinct(F.transform("base", lambda x: x["kind"])).alias("kinds"), F.explode(F.filter(located(F.col("text"), "[\\p{L}\\p{N}]+"), lambda t: (F.length(t["found"]) > 1) & apart(t))).alias("t"))
+    tokens = entities.join(asked, ["k1", "k2"], "left_semi").select("k1", "k2", F.array_distinct(F.transform("base", lambda x: x["kind"])).alias("kinds"), F.explode(F.filter(located(F.col("text"), "[\\p{L}\\p{N}]+"), lambda t: (F.length(t["found"]) > 1) & apart(t))).alias("t"))
     met = tokens.select("k1", "k2", "kinds", "t.start", "t.end", F.lower("t.found").alias("term")).join(disclosing, "term")
     if not everywhere:
         met = met.filter(F.array_contains("kinds", F.col("kind")))
@@ -236,7 +244,8 @@ def redacted(text: Column, base: Column, added: Column) -> Column:
 def findings(docs: DataFrame, clean: Callable[[Column], Column], everywhere: bool = True) -> DataFrame:
     """(doc_id, base, added, clean) of every row; ``clean`` is applied to the redacted text, null where nothing was found."""
     entities = with_entities(docs)
-    marked = with_terms(entities, stage(disclosing_terms(entities), "pii-disclosing"), everywhere)
+    terms_found, held = disclosing(entities)
+    marked = with_terms(entities, stage(terms_found, "pii-disclosing"), held, everywhere)
     found = stage(marked.select("k1", "k2", "base", "added", clean(redacted(F.col("text"), F.col("base"), F.col("added"))).alias("clean")), "pii-found")
     rows = docs.select("doc_id", *text_keys(full_text(F.col("text")))).join(found, ["k1", "k2"], "left")
     none = lambda c: F.coalesce(c, F.array().cast(found.schema[c].dataType))

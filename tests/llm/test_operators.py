@@ -136,6 +136,22 @@ def test_pii_copies_do_not_change_the_verdict(spark):
     assert narrow[bare] == ([], None) and narrow[where] == once[where]
 
 
+def test_pii_added_spans_match_plain_python(spark):
+    """Every occurrence of a disclosing term that touches no entity, beside entities too; none else."""
+    odd = ["patientme7@mail.example.com", "\u00e9\u00e9me8@mail.example.com patient", "Patient.10.0.1.7 PATIENT", "patient10.0.1.7 at", "impatient patient_patient", "patient " * 700]
+    texts = revealing() + odd
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    terms = {r["term"] for r in pii.disclosing_terms(pii.with_entities(docs)).collect()}
+    assert "patient" in terms
+    seen = 0
+    for r in pii.sanitise(docs).collect():
+        text, base = texts[r["doc_id"]], [(x["start"], x["end"]) for x in r["base"]]
+        found = [m.span() for m in re.finditer(r"[^\W_]+", text) if m.group().lower() in terms]
+        assert [(x["start"], x["end"]) for x in r["added"]] == [(a, b) for a, b in found if not any(s < b and a < e for s, e in base)], text
+        seen += len(r["added"])
+    assert seen > 700
+
+
 def test_pii_chance_terms_do_not_disclose(spark):
     rng = random.Random(8)
     rows = []
