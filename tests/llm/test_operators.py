@@ -390,3 +390,24 @@ def test_factorisation_training_bound_and_repeated_rows(spark):
     for r in factorisation.scored(docs, factorisation.fit(x, y)).collect():
         scores.setdefault(r["doc_id"], set()).add(r["score"])
     assert all(len(v) == 1 for v in scores.values())
+
+
+def test_factorisation_extra_columns_and_edge_rows(spark, tmp_path):
+    """Columns of the names it computes change nothing; null, empty and long texts get a score."""
+    rng = random.Random(5)
+    rows = [(i, (" ".join(rng.choices(["clean", "calm", "prose"] if i % 3 else ["!!!", "BUY", "$$"], k=30)))) for i in range(90)]
+    rows += [(90, None), (91, ""), (92, "calm " * 40_000), (None, "calm prose"), (3, rows[3][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(90)], "doc_id long, quality int")
+    clashing = {c: F.lit(7) for c in ("y", "_y", "score", "at", "x", "quality", "held_out", "predicted")}
+
+    def result(name, docs, labels):
+        for table, df in (("documents", docs), ("labels", labels)):
+            df.coalesce(1).write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+        return sorted(map(tuple, factorisation.op2_quality(spark, f"{tmp_path}/{name}").collect()), key=repr)
+
+    plain = result("plain", docs, labels)
+    assert result("clashing", docs.withColumns(clashing), labels.withColumns({c: v for c, v in clashing.items() if c != "quality"})) == plain
+    assert len(plain) == len(rows) and all(0 <= r[2] <= 1 and r[3] == int(r[2] >= 0.7) for r in plain)
+    score = {r[0]: r[2] for r in plain}
+    assert score[92] > 0.5 > score[0] and len([r for r in plain if r[0] == 3]) == 2
