@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -140,3 +141,30 @@ def test_pieces_keep_rows_whole(monkeypatch):
         parts = list(packed.pieces([batch]))
         assert sum(x.num_rows for x in parts) == 6 and [v for x in parts for v in x.column(2).flatten().to_pylist()] == flat.tolist()
         assert all(x.num_rows == 1 or len(x.column(2).flatten()) <= limit for x in parts) and len(parts) <= most
+
+
+def test_a_task_searches_its_largest_class_in_little_memory():
+    """Four tasks share an executor, so what one holds of the largest class it may be given stays far below a quarter of its Python."""
+    n, width = mining.CLASS_SIZE // 8, 8
+    codes = np.tile(np.arange(1, width + 1, dtype=np.int32), n)
+    tracemalloc.start()
+    rows = packed.Rows(packed._batch(np.zeros(n), np.ones(n), np.full(n, -0.1), codes, np.ones(n * width), np.full(n * width, -0.1), np.full(n, width)))
+    search = depth.Search((0,), [], 5, 0.0, False, 3, False)
+    search.run(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert search.results() and search.levels[2][0] == width and peak < 200e6, (peak, search.levels)
+
+
+def test_prefixes_of_long_transactions_are_summed_and_grown_in_pieces(spark, monkeypatch):
+    batch = packed._batch(np.zeros(6), np.ones(6), np.zeros(6), np.tile(np.arange(1, 5), 6), np.ones(24), np.full(24, -0.5), np.full(6, 4))
+    frame = spark.createDataFrame([tuple(r.values()) for r in batch.to_pylist()], packed.ROWS).coalesce(1)
+    seen = []
+    for limit in (1000, 8):
+        monkeypatch.setattr(packed, "ELEMENTS", limit)
+        sums = sorted(tuple(round(x, 9) for x in r) for r in packed.child_sums(frame).collect())
+        grown = sorted(map(str, packed.grown(frame, np.array([1, 2]), np.array([0, 1])).collect()))
+        seen.append((sums, grown))
+    assert seen[0] == seen[1] and len(seen[0][0]) == 4 and len(seen[0][1]) == 12
+    most = max(len(x["codes"].flatten()) for x in packed.pieces([batch], "codes"))
+    assert most == 8
