@@ -301,6 +301,46 @@ def test_file_catalogue_reads_new_files_alone(spark, tmp_path, monkeypatch):
     assert {x[1] for x in of()} == {"a b.txt"} and not (folder / "profit" / "p.txt").exists() and found.refresh(str(folder)) == 0
 
 
+def test_parts_of_one_write_are_one_file(spark, tmp_path):
+    """No task collects a file: its parts follow each other by number, and are listed, hashed, searched and deleted as one."""
+    from quarry.sources import files
+
+    folder = tmp_path / "data" / "data base"
+    rows = spark.range(1000, numPartitions=7).selectExpr("cast(id as string) as line")
+    rows.write.text(str(folder))
+    rows.limit(5).coalesce(1).write.mode("append").text(str(folder))
+    (folder / "part-x.txt").write_text("x")
+    body = "".join(f"{i}\n" for i in range(1000)).encode()
+    want = sorted((len(x), hashlib.md5(x).hexdigest()) for x in (body, body[:10], b"x"))
+    found = files.FileCatalogue(spark, str(tmp_path / "catalogue"))
+    assert found.refresh(str(folder.parent)) == 3 and found.refresh(str(folder.parent)) == 0
+    rows = found.files().collect()
+    assert sorted((r["file_size"], r["checksum"]) for r in rows) == want == sorted((r["file_size"], r["checksum"]) for r in loader.list_files(spark, str(folder.parent)).collect())
+    large = max(rows, key=lambda r: r["file_size"])["file_name"]
+    assert large.count("*") == 2 and all("*" not in r["file_name"] for r in rows if r["file_name"] != large)
+    assert found.delete(large) == 1 and len(list(folder.glob("part-*"))) == 2 and len(found.files().collect()) == 2
+
+
+def test_catalogued_files_are_written_by_many_tasks(spark):
+    """The sorted baskets are not brought into one task; their parts hold all of them in order."""
+    from quarry.plans import catalog
+
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        with staging.scope():
+            listed = {r["file_type"]: r["parts"] for r in files_listed(spark, catalog._files(spark, "/root/testdata/sf0.001"))}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert set(listed) == {"database", "profit"} and len(listed["database"]) > 1
+
+
+def files_listed(spark, path):
+    from quarry.sources import files
+
+    return files.listed(spark, path).collect()
+
+
 def test_console(spark):
     top = mining.mine_topk(*frames(spark, SAMPLE, SAMPLE_PROFIT), 3, 0.3)
     lines = [r["line"] for r in sinks.console_lines(top).orderBy("rank").collect()]
