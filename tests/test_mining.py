@@ -168,3 +168,19 @@ def test_prefixes_of_long_transactions_are_summed_and_grown_in_pieces(spark, mon
     assert seen[0] == seen[1] and len(seen[0][0]) == 4 and len(seen[0][1]) == 12
     most = max(len(x["codes"].flatten()) for x in packed.pieces([batch], "codes"))
     assert most == 8
+
+
+def test_long_sums_keep_their_last_places(spark):
+    """An export shows six decimals, also of sums over very many transactions and in whatever order they come."""
+    n = 200_000
+    u, p = np.arange(n) % 977 + 1000.3, (0.95, 0.85)
+    packs = spark.range(n, numPartitions=1).selectExpr("id as tid", "0D as rtu", "array(1, 2) as items", "array(id % 977 + 1000.3D, id % 977 + 1000.3D) as u", "array(0.95D, 0.85D) as p")
+    items = packed.Items.of(np.array([1, 2], np.int32), np.array([1.0, 2.0]), False)
+    near = lambda got, values: abs(got - math.fsum(values)) <= 2 * np.spacing(got)
+    assert all(near(r["eu"], u * p[r["item"] - 1]) for r in packed.single_sums(packs, items).collect())
+    assert near(packed.pair_sums(packs, items, False).first()["eu"], (u + u) * (p[0] * p[1]))
+    lp = np.log(np.full(n, 0.85))
+    rows = packed._batch(np.zeros(n), u, np.log(np.full(n, 0.95)), np.full(n, 2, np.int32), u, lp, np.ones(n, np.int64))
+    search = depth.Search((1,), [], 5, 0.0, False, 2, False)
+    search.run(packed.Rows(rows))
+    assert near(search.results()[0][1], (u + u) * np.exp(np.log(0.95) + lp))
