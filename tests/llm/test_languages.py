@@ -129,3 +129,28 @@ def test_the_most_frequent_grams_stay(spark, monkeypatch):
         every = Counter((languages.PAD + t.encode())[k : k + 4] for t, x in taught(rows) if x == lang for k in range(len(t.encode())))
         stay = {g for g, n in every.items() if sum(m >= n for m in every.values()) <= 50}
         assert 0 < len(stay) <= 50 and {int.from_bytes(g, "big") for g in stay} <= {*model.full.keys.tolist()}
+
+
+def test_every_gram_and_language_counts(spark, monkeypatch):
+    """Whatever a model may hold, verdicts are those of the whole trees of all languages."""
+    rows = corpus(120) + [(900, None, None), (901, "", None), (902, "12 34 !?", None), (903, "日本語 ß ля the", None), (903, "日本語 ß ля the", None), (None, "der ung ding " * 30_000, None)]
+    frame, plain = spark.createDataFrame(rows, SCHEMA), trees(rows)
+    want = []
+    for i, t, _ in rows:
+        if not t or not any(c.isalpha() for c in t):
+            want.append((i, "und", 0.0))
+            continue
+        rates = {x: code_length(plain[x], t) / len(t.encode()) for x in plain}
+        best = min(rates, key=lambda x: (rates[x], x))
+        want.append((i, best, 1 / sum(2 ** ((rates[best] - r) * languages.SHARPNESS) for r in rates.values())))
+    order = lambda rows: sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    for grams, several, cells in ((50, 64, 1 << 24), (200_000, 2, 1 << 24), (1, 1, 1 << 24), (200_000, 64, 100)):
+        monkeypatch.setattr(languages, "MAX_GRAMS", grams)
+        monkeypatch.setattr(languages, "MAX_LANGUAGES", several)
+        monkeypatch.setattr(languages, "MAX_CELLS", cells)
+        monkeypatch.setattr(languages, "SLICE", 200)
+        got = order([tuple(r)[:3] for r in languages.identify(frame).collect()])
+        assert [r[:2] for r in got] == [r[:2] for r in order(want)], (grams, several)
+        assert np.allclose([r[2] for r in got], [r[2] for r in order(want)], atol=1e-4), (grams, several)
+        again = [r[2] for r in got if r[0] == 903]
+        assert len(again) == 2 and again[0] == again[1]
