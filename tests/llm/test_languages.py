@@ -144,7 +144,7 @@ def test_every_gram_and_language_counts(spark, monkeypatch):
         best = min(rates, key=lambda x: (rates[x], x))
         want.append((i, best, 1 / sum(2 ** ((rates[best] - r) * languages.SHARPNESS) for r in rates.values())))
     order = lambda rows: sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
-    for grams, several, cells in ((50, 64, 1 << 24), (200_000, 2, 1 << 24), (1, 1, 1 << 24), (200_000, 64, 100)):
+    for grams, several, cells in ((50, 64, 1 << 22), (200_000, 2, 1 << 22), (1, 1, 1 << 22), (200_000, 64, 100)):
         monkeypatch.setattr(languages, "MAX_GRAMS", grams)
         monkeypatch.setattr(languages, "MAX_LANGUAGES", several)
         monkeypatch.setattr(languages, "MAX_CELLS", cells)
